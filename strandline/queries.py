@@ -1,0 +1,4 @@
+"""Registered queries over the panel operators, and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
