@@ -1,10 +1,16 @@
 """Queries over the text operators, and their SQL."""
 
 from .chat_format import OP5_SQL, op5_chat_format
+from .decontaminate import OP6_SQL, op6_decontaminate
 from .mixing import OP2_SQL, op2_mix_sources
+from .vectors import OP8_SQL, op8_nearest
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_warc": op3_warc,
     "op5_chat_format": op5_chat_format,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_nearest": op8_nearest,
 }
-ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op5_chat_format": OP5_SQL}
+ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_nearest": OP8_SQL}
