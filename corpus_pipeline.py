@@ -1,12 +1,88 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near duplicates, repeated passages, benchmark passages, mixture.
 
-from strandline.llm.registry import QUERIES
+Each stage takes all that the one before kept and returns a DataFrame, which run() writes as Parquet and reads again. All but the last
+return the columns of documents. Rows that a stage keeps are unchanged but for the text and n_chars of documents that lose repeated
+passages. Null and empty texts pass every stage but the first, which judges them by their statistics.
+"""
 
-STAGES = []
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def run(spark, sf_dir):
-    raise NotImplementedError
-
+from strandline.llm._spark import Scratch
+from strandline.llm.decontaminate import find_contamination
+from strandline.llm.mixing import mix
+from strandline.llm.neardup import near_duplicates
+from strandline.llm.quality import classify
+from strandline.llm.suffix_dedup import find_spans, kept_texts, with_keys
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Stages are not written in SQL: the first learns trees, the second hashes by bins. Each is tested against its operator and brute force.
 ORACLE_SQL = None
+#: Documents that score below this are rejected.
+LEAST_QUALITY = 0.5
+#: Up to so many ids are broadcast to the documents; beyond, both are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these (distinct, not null) ids."""
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    return docs.join(ids.withColumnRenamed("doc_id", "gone"), docs["doc_id"] == F.col("gone"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scratch = Scratch(spark)
+    scores = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch)
+    gone = scratch.keep(scores.filter((F.col("score") < LEAST_QUALITY) & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    return _without(docs.select(*COLUMNS), gone)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id stays."""
+    scratch = Scratch(spark)
+    found = near_duplicates(docs, scratch)
+    gone = scratch.keep(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    return _without(docs.select(*COLUMNS), gone)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand earlier are cut out of the texts; a document of which nothing is left goes."""
+    scratch = Scratch(spark)
+    texts, base = with_keys(docs, scratch)
+    spans, n = find_spans(texts, scratch)
+    copies = base.filter("copy and n_bytes >= 100").select("doc_id").distinct()
+    kept = kept_texts(texts, spans, n)
+    ids = base.filter("not copy").select("key", "doc_id").distinct()
+    new = scratch.keep(kept.join(ids, "key").select(F.col("doc_id").alias("id"), "kept").unionAll(copies.select(F.col("doc_id").alias("id"), F.lit("").alias("kept"))))
+    rows = docs.select(*COLUMNS).join(new, docs["doc_id"] == F.col("id"), "left")
+    text = F.coalesce("kept", "text")
+    rows = rows.filter(F.col("kept").isNull() | (F.length(F.trim("kept")) > 0))
+    return rows.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    scratch = Scratch(spark)
+    hits = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch)
+    gone = scratch.keep(hits.filter((F.col("n_hit") > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    return _without(docs.select(*COLUMNS), gone)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes; documents of which it takes none go."""
+    return mix(docs).filter("taken > 0")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("decontaminate", decontaminate), ("mixture", mixture)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage."""
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return scratch.keep(docs)
