@@ -52,9 +52,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Passages that stand earlier are cut out of the texts; a document of which nothing is left goes."""
     scratch = Scratch(spark)
     texts, base = with_keys(docs, scratch)
-    spans, n = find_spans(texts, scratch)
     copies = base.filter("copy and n_bytes >= 100").select("doc_id").distinct()
-    kept = kept_texts(texts, spans, n)
+    kept = kept_texts(texts, find_spans(texts, scratch))
     ids = base.filter("not copy").select("key", "doc_id").distinct()
     new = scratch.keep(kept.join(ids, "key").select(F.col("doc_id").alias("id"), "kept").unionAll(copies.select(F.col("doc_id").alias("id"), F.lit("").alias("kept"))))
     rows = docs.select(*COLUMNS).join(new, docs["doc_id"] == F.col("id"), "left")

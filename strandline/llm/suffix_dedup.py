@@ -35,8 +35,8 @@ from ._spark import Scratch, small
 LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at once; bytes of blocks in a shard of the index; blocks of an anchor beyond which its windows are aggregated.
 SEGMENT, SHARD, HOT = 1 << 18, 1 << 21, 4096
-#: Up to so many documents with marks (and marks) these are broadcast to the texts; beyond, both are shuffled.
-BROADCAST_MARKS = 2_000_000
+#: Up to so many copies of texts their ids are broadcast; beyond, they are joined by shuffle.
+BROADCAST_COPIES = 1_000_000
 SPAN = "key long, start long, end long"
 
 
@@ -305,7 +305,7 @@ def with_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     if state[0] == state[1]:
         # copies differ from all others by their id
         gone = base.filter("copy").select("doc_id").distinct()
-        gone = F.broadcast(gone) if small(gone, BROADCAST_MARKS) else gone
+        gone = F.broadcast(gone) if small(gone, BROADCAST_COPIES) else gone
         texts = docs.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "text")
         if base.filter("not copy").count() > state[0]:  # whole rows that repeat
             texts = texts.distinct()
@@ -314,13 +314,13 @@ def with_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return texts, base
 
 
-def _beside(texts: DataFrame, marks: DataFrame, rows: int) -> DataFrame:
-    """texts joined with marks by key; marks are broadcast only if they are small."""
-    return texts.join(F.broadcast(marks) if rows <= BROADCAST_MARKS else marks, "key")
+def _beside(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """texts joined with marks, which may be as many as the texts, by key."""
+    return texts.join(marks.hint("merge"), "key")
 
 
-def find_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, shard: int = SHARD, hot: int = HOT) -> tuple[DataFrame, int]:
-    """texts: key, text, of distinct texts. (key, spans array<struct<start, end>>) of those with repeats, and how many spans there are."""
+def find_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+    """texts: key, text, of distinct texts. (key, spans array<struct<start, end>>) of those with repeats."""
     long = texts.filter(F.octet_length("text") >= length)
     rows = long.mapInArrow(_anchors(length), "fp long, block long, key long, at long")
     met = rows.repartition("fp").sortWithinPartitions("fp", "block", "key", "at").mapInArrow(_meet(length), "key long, at long, fp long, ask boolean")
@@ -334,7 +334,7 @@ def find_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, shard:
         shards = max(1, -(-int(total[1]) // shard))
         asked = asked.join(many, "fp", "left").select("key", "at", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int").alias("shard"))
         by_text = asked.groupBy("key").agg(F.collect_list(F.struct("at", "shard", "hot")).alias("asked"))  # no more than the text has
-        cut = scratch.table(_beside(long, by_text, total[0]).select("key", "text", "asked").mapInArrow(_cut(length), "shard int, hot boolean, key long, start long, bytes binary"), "cut")
+        cut = scratch.table(_beside(long, by_text).select("key", "text", "asked").mapInArrow(_cut(length), "shard int, hot boolean, key long, start long, bytes binary"), "cut")
         cold = cut.filter("not hot").select("shard", "key", "start", "bytes").repartition(shards, "shard").sortWithinPartitions("shard", "key", "start")
         found = found.unionAll(cold.mapInArrow(_index(length), SPAN))
         if many.head(1):
@@ -342,8 +342,7 @@ def find_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, shard:
             least = w.groupBy("w").agg(F.min(F.struct("key", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
             again = w.join(least, "w").filter(F.struct("key", "start") != F.col("least"))
             found = found.unionAll(again.select("key", "start", (F.col("start") + length).alias("end")))
-    spans = scratch.table(found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    return spans, int(spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).head()[0])
+    return scratch.table(found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -371,9 +370,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["key", "n_removed", "n_spans", "kept_sha256"])
 
 
-def digests(texts: DataFrame, base: DataFrame, spans: DataFrame, n: int, scratch: Scratch, length: int = LENGTH) -> DataFrame:
+def digests(texts: DataFrame, base: DataFrame, spans: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """A row for each row of base: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    cut = scratch.table(_beside(texts, spans, n).select("key", "text", "spans").mapInArrow(_remove, "key long, n_removed long, n_spans long, kept_sha256 string"), "removed")
+    cut = scratch.table(_beside(texts, spans).select("key", "text", "spans").mapInArrow(_remove, "key long, n_removed long, n_spans long, kept_sha256 string"), "removed")
     whole = F.col("copy") & (F.col("n_bytes") >= length)
     out = base.join(cut, "key", "left")
     return out.select(
@@ -402,13 +401,12 @@ def _keep_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["key", "kept"])
 
 
-def kept_texts(texts: DataFrame, spans: DataFrame, n: int) -> DataFrame:
+def kept_texts(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(key, kept): what is left of each text with repeats; characters of which only a part would go stay."""
-    return _beside(texts, spans, n).select("key", "text", "spans").mapInArrow(_keep_text, "key long, kept string")
+    return _beside(texts, spans).select("key", "text", "spans").mapInArrow(_keep_text, "key long, kept string")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     texts, base = with_keys(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch)
-    spans, n = find_spans(texts, scratch)
-    return scratch.keep(digests(texts, base, spans, n, scratch))
+    return scratch.keep(digests(texts, base, find_spans(texts, scratch), scratch))

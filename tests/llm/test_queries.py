@@ -1,0 +1,41 @@
+import pytest
+from conftest import same
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from strandline.llm.registry import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, small, duck, name):
+    same(QUERIES[name](spark, small), duck.execute(ORACLE_SQL[name]), close=False)
+
+
+def test_pipeline(spark, small, tmp_path):
+    """Each stage's decisions against its operator on the stage's own input, and the whole run."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small)
+        out.write.parquet(str(tmp_path / name))
+        new = spark.read.parquet(str(tmp_path / name))
+        if name != "mixture":
+            assert new.columns == corpus_pipeline.COLUMNS and new.dtypes == docs.select(*corpus_pipeline.COLUMNS).dtypes
+        ids = {r[0] for r in new.select("doc_id").collect()}
+        assert ids <= kept.get("last", ids)
+        kept["last"], kept[name], docs = ids, new, new
+    assert kept["near_dedup"].count() < kept["quality"].count()
+    assert kept["passage_dedup"].filter(F.length("text") != F.col("n_chars")).count() == 0
+    texts = [r[0] for r in kept["passage_dedup"].select("text").collect()]
+    assert all("�" not in t for t in texts)
+    whole = {tuple(r) for r in corpus_pipeline.run(spark, small).collect()}
+    assert whole == {tuple(r) for r in kept["mixture"].collect()}
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    texts = [None, "", "x", "a " * 300, "a " * 300, "good words stand here in a line and say something new about rivers", None]
+    rows = [(k if k < 6 else None, t, "en", "s", len(t or ""), "clash") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, gone string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, 1, 0), (0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
