@@ -1,28 +1,13 @@
-"""Session helpers: the folder that all executors share, tables written there, and the package on the executors."""
+"""Session helpers: the folder that all executors share, and tables written there."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_strandline_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(), "strandline.zip")  # the driver serves it to the executors
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(path)
-    sc._strandline_shipped = True
+from ..session import ship
 
 
 def shared_folder(spark: SparkSession) -> str:

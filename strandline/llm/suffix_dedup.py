@@ -5,8 +5,9 @@ document. Strings are judged on the input; matches never cross documents.
 
 1. Documents equal to one of a smaller id go as a whole; only the first of equal texts is looked at further.
 2. Every window of `length` bytes has an anchor: the rightmost of its k-grams with the smallest hash. Equal windows have equal anchors.
-   Windows in a row with the same anchor form a block; a row goes out for each block (an anchor every 35 bytes or so), and rows meet by
-   the anchor's hash. Equal blocks: all but the first are repeats. Blocks that share an anchor and differ go to the index.
+   Windows in a row with equal anchors form a block; a row goes out for each block (one every 35 bytes or so, fewer in periodic text),
+   and rows meet by the anchor's hash. Equal blocks: all but the first are repeats. Blocks that share an anchor and differ, or hold it
+   several times, go to the index.
 3. A shard of the index is the concatenation of such blocks, in order of document and place. From its suffixes comes the Burrows-Wheeler
    transform, kept as runs, with a sample at each run's first and last row: text position, and common prefix with the row before or
    after. Between samples these lengths fall by one with each byte, so the matching statistics of the whole shard against the rest of it
@@ -34,7 +35,9 @@ from ._spark import Scratch, small
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at once; bytes of blocks in a shard of the index; blocks of an anchor beyond which its windows are aggregated.
-SEGMENT, SHARD, HOT = 1 << 18, 1 << 21, 4096
+SEGMENT, SHARD, HOT = 1 << 18, 1 << 20, 4096
+#: Windows of a block; more of equal anchors make further blocks.
+MOST_WINDOWS = 256
 #: Up to so many copies of texts their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_COPIES = 1_000_000
 SPAN = "key long, start long, end long"
@@ -53,7 +56,10 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
 
 
 def blocks(buf: np.ndarray, own: np.ndarray, length: int):
-    """(row, start in the row, windows, anchor hash, block hash) of each block of a chunk."""
+    """(row, place, anchor hash, block hash) of each block of a chunk.
+
+    A place is the start in the row, whether the anchor stands in the block several times, and the number of windows, in one number.
+    """
     width = length - GRAM + 1
     if len(buf) < length:
         return
@@ -73,19 +79,24 @@ def blocks(buf: np.ndarray, own: np.ndarray, length: int):
         r0, r1 = np.searchsorted(own, lo, "right") - 1, np.searchsorted(own, lo + n, "left")
         for e in own[r0 + 1 : r1 + 1]:  # windows that reach the end of a row or the space after it
             valid[max(e - length - lo, 0) : max(e - lo, 0)] = False
-        new = valid.copy()
-        new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
-        start = np.flatnonzero(new)
+        anchor = h[at]
+        on = valid[1:] & valid[:-1] & (anchor[1:] == anchor[:-1])
+        start, stop = np.flatnonzero(valid & ~np.concatenate(([False], on))), np.flatnonzero(valid & ~np.concatenate((on, [False])))
         if not len(start):
             continue
-        stop = np.flatnonzero(valid & ~np.concatenate((valid[1:] & (at[1:] == at[:-1]), [False])))
+        again = at[start] != at[stop]  # the anchor stands here several times
         windows = stop - start + 1
+        pieces = -(-windows // MOST_WINDOWS)
+        if pieces.max() > 1:
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start, again = np.repeat(start, pieces) + nth * MOST_WINDOWS, np.repeat(again, pieces)
+            windows = np.minimum(np.repeat(windows, pieces) - nth * MOST_WINDOWS, MOST_WINDOWS)
         up, down = powers(len(b) + 1)
         s = np.zeros(len(b) + 1, U64)
         np.cumsum(TABLE[b] * up[: len(b)], out=s[1:])
         whole = mix((s[start + windows + length - 1] - s[start]) * down[start] + windows.astype(U64) * U64(0xD1B54A32D192ED03))
         row = np.searchsorted(own, start + lo, "right") - 1
-        yield row, start + lo - own[row], windows, h[at[start]], whole
+        yield row, (start + lo - own[row]) << 16 | again.astype(np.int64) << 15 | windows, anchor[start], whole
 
 
 def _anchors(length: int):
@@ -93,14 +104,15 @@ def _anchors(length: int):
         for b in batches:
             keys = np.asarray(b.column(0))
             for i, _, buf, own in chunks(b.column(1), SEGMENT):
-                for row, start, windows, fp, whole in blocks(buf, own, length):
-                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(keys[i + row]), pa.array(start << 8 | windows)], ["fp", "block", "key", "at"])
+                for row, at, fp, whole in blocks(buf, own, length):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(keys[i + row]), pa.array(at)], ["fp", "block", "key", "at"])
 
     return anchors
 
 
 def _meet(length: int):
-    """Rows come by anchor, block, key and place: repeats of a block give spans; firsts of anchors with several blocks are asked for."""
+    """Rows come by anchor, block, key and place: repeats of a block give spans. Firsts of blocks are asked for if their anchor has
+    several blocks or stands in the block several times."""
     names = ["key", "at", "fp", "ask"]
 
     def out(key, at, fp, ask):
@@ -124,8 +136,8 @@ def _meet(length: int):
             if not len(f):
                 continue
             same = f[1:] == f[:-1]
-            several = np.concatenate(([before], same)) | np.concatenate((same, [False]))
-            before = bool(several[-1]) if len(same) == 0 else bool(same[-1])
+            several = np.concatenate(([before], same)) | np.concatenate((same, [False])) | (a >> 15 & 1 == 1)
+            before = bool(several[-1])
             if several[:-1].any():
                 yield out(k[:-1][several[:-1]], a[:-1][several[:-1]], f[:-1][several[:-1]], True)
             held = [f[-1:], k[-1:], a[-1:]]
@@ -144,7 +156,7 @@ def _cut(length: int):
             out, size = [[] for _ in range(5)], 0
             for key, i, asked in zip(b.column(0).to_pylist(), off[:-1].tolist(), b.column(2).to_pylist(), strict=True):
                 for x in asked:
-                    start, windows = x["at"] >> 8, x["at"] & 255
+                    start, windows = x["at"] >> 16, x["at"] & 0x7FFF
                     for o, v in zip(out, (x["shard"], x["hot"], key, start, data[i + start : i + start + windows + length - 1].tobytes()), strict=True):
                         o.append(v)
                     size += windows + length
@@ -326,7 +338,7 @@ def find_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, shard:
     met = rows.repartition("fp").sortWithinPartitions("fp", "block", "key", "at").mapInArrow(_meet(length), "key long, at long, fp long, ask boolean")
     met = scratch.table(met, "met")
     asked = met.filter("ask").select("key", "at", "fp")
-    start, windows = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
+    start, windows = F.shiftright("at", 16), F.col("at").bitwiseAND(0x7FFF)
     found = met.filter("not ask").select("key", start.alias("start"), (start + windows + (length - 1)).alias("end"))
     total = asked.agg(F.count(F.lit(1)), F.sum(windows + length)).head()
     if total[0]:
@@ -384,26 +396,46 @@ def digests(texts: DataFrame, base: DataFrame, spans: DataFrame, scratch: Scratc
     )
 
 
-def _keep_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keep_text(text: bytes, spans: list[dict]) -> str:
+    """What is left of a text; a character of which only a part would go stays."""
+    at, parts = 0, []
+    for x, y in merged(spans):
+        while x < y and text[x] & 0xC0 == 0x80:
+            x += 1
+        while y > x and y < len(text) and text[y] & 0xC0 == 0x80:
+            y -= 1
+        parts.append(text[at:x])
+        at = y
+    return b"".join([*parts, text[at:]]).decode("utf-8", "replace")
+
+
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, off = bytes_of(b.column(1))
-        out = []
-        for i, j, spans in zip(off[:-1].tolist(), off[1:].tolist(), b.column(2).to_pylist(), strict=True):
-            text, at, parts = data[i:j], 0, []
-            for x, y in merged(spans):
-                while x < y and text[x] & 0xC0 == 0x80:  # a character that stays in part stays whole
-                    x += 1
-                while y > x and y < len(text) and text[y] & 0xC0 == 0x80:
-                    y -= 1
-                parts.append(text[at:x].tobytes())
-                at = y
-            out.append(b"".join([*parts, text[at:].tobytes()]).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["key", "kept"])
-
-
-def kept_texts(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(key, kept): what is left of each text with repeats; characters of which only a part would go stay."""
-    return _beside(texts, spans).select("key", "text", "spans").mapInArrow(_keep_text, "key long, kept string")
+        text, chars, spans = (b.column(k).to_pylist() for k in (1, 4, 5))
+        stays = [True] * len(text)
+        for k, s in enumerate(spans):
+            if s is not None:
+                text[k] = keep_text((text[k] or "").encode(), s)
+                chars[k] = len(text[k])
+                stays[k] = bool(text[k].strip())
+        out = pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), b.column(2), b.column(3), pa.array(chars, pa.int64())], ["doc_id", "text", "lang", "source", "n_chars"])
+        yield out.filter(pa.array(stays))
+
+
+def repeat_marks(base: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
+    """id, h, spans: what goes of each document that loses anything; h is the hash of its text."""
+    whole = F.col("copy") & (F.col("n_bytes") >= length)
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    marks = base.join(spans, "key", "left").select(F.col("doc_id").alias("id"), F.col("sha").alias("h"), F.when(whole, everything).otherwise(F.col("spans")).alias("spans"))
+    return marks.filter("spans is not null").dropDuplicates(["id", "h"])
+
+
+def without_repeats(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) with repeats cut out, and without documents of which nothing but space is left."""
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    joined = rows.join(marks.hint("merge"), rows["doc_id"].eqNullSafe(F.col("id")) & (sha == F.col("h")), "left").drop("id", "h")
+    return joined.mapInArrow(_rewrite, "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
