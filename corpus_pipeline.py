@@ -15,7 +15,7 @@ from strandline.llm.decontaminate import find_contamination
 from strandline.llm.mixing import mix
 from strandline.llm.neardup import near_duplicates
 from strandline.llm.quality import classify
-from strandline.llm.suffix_dedup import find_spans, kept_texts, with_keys
+from strandline.llm.suffix_dedup import find_spans, repeat_marks, with_keys, without_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Stages are not written in SQL: the first learns trees, the second hashes by bins. Each is tested against its operator and brute force.
@@ -52,14 +52,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Passages that stand earlier are cut out of the texts; a document of which nothing is left goes."""
     scratch = Scratch(spark)
     texts, base = with_keys(docs, scratch)
-    copies = base.filter("copy and n_bytes >= 100").select("doc_id").distinct()
-    kept = kept_texts(texts, find_spans(texts, scratch))
-    ids = base.filter("not copy").select("key", "doc_id").distinct()
-    new = scratch.keep(kept.join(ids, "key").select(F.col("doc_id").alias("id"), "kept").unionAll(copies.select(F.col("doc_id").alias("id"), F.lit("").alias("kept"))))
-    rows = docs.select(*COLUMNS).join(new, docs["doc_id"] == F.col("id"), "left")
-    text = F.coalesce("kept", "text")
-    rows = rows.filter(F.col("kept").isNull() | (F.length(F.trim("kept")) > 0))
-    return rows.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
+    marks = scratch.keep(repeat_marks(base, find_spans(texts, scratch)))
+    return without_repeats(docs, marks)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

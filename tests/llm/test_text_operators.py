@@ -325,8 +325,17 @@ def test_repeated_passages(spark, hot):
         kept = np.frombuffer(b, np.uint8)[~flag].tobytes()
         runs = int((np.diff(np.concatenate(([0], flag.astype(int)))) == 1).sum())
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), int(flag.sum()), runs, hashlib.sha256(kept).hexdigest()), r["doc_id"]
-    for r in suffix_dedup.kept_texts(t, spans).collect():
-        assert "�" not in r["kept"]
+    left = {r["doc_id"]: r for r in suffix_dedup.without_repeats(d, suffix_dedup.repeat_marks(base_rows, spans)).collect()}
+    for i, (b, flag) in want.items():
+        kept = np.frombuffer(b, np.uint8)[~flag].tobytes()
+        if not flag.any():
+            assert left[i]["text"] == texts[i]
+        elif i in left:
+            runs = int((np.diff(np.concatenate(([0], flag.astype(int)))) == 1).sum())
+            assert "�" not in left[i]["text"] and left[i]["n_chars"] == len(left[i]["text"])
+            assert len(kept) <= len(left[i]["text"].encode()) <= len(kept) + 6 * runs
+        else:
+            assert not kept.decode("utf-8", "ignore").strip()
     scratch.drop()
 
 
