@@ -394,7 +394,7 @@ def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 2.0])], "vec_id long, vector array<float>")
     scratch = Scratch(spark)
     index = vectors.build(df, scratch, vector="vector")
-    assert [tuple(r) for r in vectors.search(index, df.filter("vec_id = 0")).collect()] == [(0, 1, 1, 1.0)]
+    assert [tuple(r) for r in vectors.search(index, df.filter("vec_id = 0"), scratch).collect()] == [(0, 1, 1, 1.0)]
     assert vectors.build(df.limit(0), scratch, vector="vector") is None
 
 
