@@ -28,6 +28,7 @@ DEVIATIONS = 3.0
 QUERY_BLOCK, ROWS, PAIRS = 1024, 1024, 1 << 18
 CODES = "vec_id long, code binary, length double, dot double, vector array<float>"
 RESULT = "query_id long, vec_id long, score double"
+NEAREST = "query_id long, rank int, vec_id long, score double"
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -134,11 +135,15 @@ def _scanner(query, k: int, dim: int, deviations: float):
     return scan
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, deviations: float = DEVIATIONS) -> DataFrame:
-    """queries: vec_id, vector. The k nearest found of each: query_id, rank, vec_id, score, ties to the smaller vec_id."""
+def search(index: Index, queries: DataFrame, scratch: Scratch, k: int = 10, deviations: float = DEVIATIONS) -> DataFrame:
+    """queries: vec_id, vector. The k nearest found of each: query_id, rank, vec_id, score, ties to the smaller vec_id.
+
+    Each block of queries is finished and written before the next, so neither plans nor the driver grow with the queries.
+    """
     spark, turn = queries.sparkSession, rotation(index.dim)
     asked = queries.filter(F.size("vector") == index.dim).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    found, block = [], []
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))  # at most k rows from each task
+    folder, block = f"{scratch.path}/nearest", []
 
     def scan():
         ids = np.array([x[0] for x in block], np.int64)
@@ -147,7 +152,9 @@ def search(index: Index, queries: DataFrame, k: int = 10, deviations: float = DE
         length = np.sqrt((x * x).sum(1))
         unit = ((x / np.where(length > 0, length, 1)[:, None]) @ turn).astype(np.float32)
         held = spark.sparkContext.broadcast((ids, vectors, length, unit))
-        found.append(index.codes.mapInArrow(_scanner(held, k, index.dim, deviations), RESULT))
+        found = index.codes.mapInArrow(_scanner(held, k, index.dim, deviations), RESULT).withColumn("rank", rank).filter(F.col("rank") <= k)
+        found.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(folder)
+        held.unpersist()
         block.clear()
 
     for row in asked.toLocalIterator():
@@ -156,11 +163,9 @@ def search(index: Index, queries: DataFrame, k: int = 10, deviations: float = DE
             scan()
     if block:
         scan()
-    rows = spark.createDataFrame([], RESULT) if not found else found[0]
-    for x in found[1:]:
-        rows = rows.unionAll(x)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))  # at most k rows from each task
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    else:
+        spark.createDataFrame([], NEAREST).write.mode("append").parquet(folder)
+    return spark.read.schema(NEAREST).parquet(folder)
 
 
 def op8_nearest(spark, sf_dir: str) -> DataFrame:
@@ -168,8 +173,8 @@ def op8_nearest(spark, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     index = build(table, scratch)
     if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return scratch.keep(search(index, index.codes.filter(F.col("vec_id") % 100 == 0).select("vec_id", "vector")))
+        return spark.createDataFrame([], NEAREST)
+    return scratch.keep(search(index, index.codes.filter(F.col("vec_id") % 100 == 0).select("vec_id", "vector"), scratch))
 
 
 OP8_SQL = """
