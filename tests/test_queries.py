@@ -16,5 +16,6 @@ def test_other_queries_run(spark, small, name):
 
 
 def test_entry(spark, small):
-    assert __spark_entry__.entry(spark).columns == ["t", "n", "ic"]
+    out = __spark_entry__.entry(spark)
+    assert out.columns == ["t", "stock", "value"] and out.filter("value is not null").count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
