@@ -6,6 +6,11 @@ the temporary arrays stay small whatever the size of an Arrow batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -111,3 +116,23 @@ def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
 def per_row(positions: np.ndarray, own: np.ndarray) -> np.ndarray:
     """How many of the ascending positions fall in each row of a chunk."""
     return np.diff(np.searchsorted(positions, own))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, for work that makes Python objects of them."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def lean(f: Callable) -> Callable:
+    """f over the batches of a partition, after which the worker gives its free memory back: it goes on to serve other stages."""
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, NOT_SPACE, U64, chunks, mix, per_row, shingles, span_hashes, spans
+from ._bytes import CHUNK, LOWER, NOT_SPACE, U64, chunks, lean, mix, per_row, shingles, span_hashes, spans
 from ._spark import Scratch
 from .components import components
 
@@ -37,7 +37,7 @@ EMPTY = U64(2**64 - 1)
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, distinct shingle hashes by row and value, how many each row has)."""
-    for i, j, buf, own in chunks(column):
+    for i, j, buf, own in chunks(column, CHUNK // 2):
         low = LOWER[buf]
         starts, ends = spans(low, NOT_SPACE)
         h, n = shingles(span_hashes(low, starts, ends), per_row(starts, own), size)
@@ -86,6 +86,7 @@ def _list(x: np.ndarray) -> pa.Array:
 def _sketcher(size: int):
     names = ["doc_id", "n", "k1", "k2", "bands"]
 
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, h, n in shingle_sets(b.column(1), size):
@@ -96,6 +97,7 @@ def _sketcher(size: int):
 
 
 def _setter(size: int):
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, h, n in shingle_sets(b.column(1), size):
@@ -131,6 +133,7 @@ def _finisher(threshold: int):
                     root[max(a, b)] = min(a, b)
                     yield node, other[m][0]
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ask, other = None, [], []
 

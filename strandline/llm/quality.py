@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, NOT_SPACE, U64, chunks, mix, per_row, span_hashes, spans
+from ._bytes import LOWER, NOT_SPACE, U64, chunks, lean, mix, per_row, span_hashes, spans
 from ._spark import Scratch
 from ._text import labelled_sample, remainder
 
@@ -173,6 +173,7 @@ def fit(x: np.ndarray, y: np.ndarray, prior: float) -> Trees:
     return Trees(feature, threshold, value, bias)
 
 
+@lean
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = statistics(b.column(2))
@@ -194,6 +195,7 @@ def learn(measured: DataFrame, labels: DataFrame, learn_from, each: int = SAMPLE
 
 
 def _scorer(model):
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import TABLE, U64, bytes_of, chunks, mix, powers
+from ._bytes import TABLE, U64, bytes_of, chunks, lean, mix, powers, slices
 from ._spark import Scratch, small
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at once; bytes of blocks in a shard of the index; blocks of an anchor beyond which its windows are aggregated.
-SEGMENT, SHARD, HOT = 1 << 18, 1 << 20, 4096
+SEGMENT, SHARD, HOT = 1 << 18, 1 << 19, 2048
 #: Windows of a block; more of equal anchors make further blocks.
 MOST_WINDOWS = 256
 #: Up to so many copies of texts their ids are broadcast; beyond, they are joined by shuffle.
@@ -100,6 +100,7 @@ def blocks(buf: np.ndarray, own: np.ndarray, length: int):
 
 
 def _anchors(length: int):
+    @lean
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = np.asarray(b.column(0))
@@ -118,6 +119,7 @@ def _meet(length: int):
     def out(key, at, fp, ask):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(at), pa.array(fp), pa.array(np.full(len(key), ask))], names)
 
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # anchor and block of the last row
         held = [np.zeros(0, np.int64)] * 3  # anchor, key, place of the last first
@@ -150,8 +152,9 @@ def _meet(length: int):
 def _cut(length: int):
     """The bytes of the asked blocks of each text."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data, off = bytes_of(b.column(1))
             out, size = [[] for _ in range(5)], 0
             for key, i, asked in zip(b.column(0).to_pylist(), off[:-1].tolist(), b.column(2).to_pylist(), strict=True):
@@ -258,6 +261,7 @@ def _runs(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _index(length: int):
     """Rows come by shard, key and start."""
 
+    @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
@@ -272,7 +276,7 @@ def _index(length: int):
             shift = np.array([h[1] for h in held])[k] - x.offsets[k] - k * length
             return pa.RecordBatch.from_arrays([pa.array(np.array([h[0] for h in held])[k]), pa.array(a + shift), pa.array(b + shift + length)], ["key", "start", "end"])
 
-        for b in batches:
+        for b in slices(batches, 1024):
             for shard, key, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if shard != now:
                     if held and (out := done()) is not None:
@@ -288,8 +292,9 @@ def _index(length: int):
 def _windows(length: int):
     """128 bits of each window of the blocks of hot anchors."""
 
+    @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for key, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(len(data) - length + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(np.full(len(x), key)), pa.array(start + np.arange(len(x)))], ["w", "key", "start"])
@@ -315,10 +320,10 @@ def with_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     base = base.join(keyed, "sha", "left").withColumn("copy", F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))).drop("first")
     base = scratch.table(base.select("doc_id", "key", "n_bytes", "sha", "copy"), "rows")
     if state[0] == state[1]:
-        # copies differ from all others by their id
+        # copies differ from all others by their id; a null id is that of a copy
         gone = base.filter("copy").select("doc_id").distinct()
         gone = F.broadcast(gone) if small(gone, BROADCAST_COPIES) else gone
-        texts = docs.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "text")
+        texts = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "text")
         if base.filter("not copy").count() > state[0]:  # whole rows that repeat
             texts = texts.distinct()
     else:
@@ -368,8 +373,9 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@lean
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         data, off = bytes_of(b.column(1))
         out = []
         for key, i, j, spans in zip(b.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), b.column(2).to_pylist(), strict=True):
@@ -409,8 +415,9 @@ def keep_text(text: bytes, spans: list[dict]) -> str:
     return b"".join([*parts, text[at:]]).decode("utf-8", "replace")
 
 
+@lean
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         text, chars, spans = (b.column(k).to_pylist() for k in (1, 4, 5))
         stays = [True] * len(text)
         for k, s in enumerate(spans):

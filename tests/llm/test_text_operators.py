@@ -340,7 +340,16 @@ def test_repeated_passages(spark, hot):
 
 
 def test_passages_with_null_and_repeated_ids(spark):
-    x, y = "".join(random.Random(1).choice("abc") for _ in range(200)), "".join(random.Random(2).choice("abc") for _ in range(200))
+    rng = random.Random(1)
+    x, y = ("".join(rng.choice("abc") for _ in range(200)) for _ in range(2))
+    scratch = Scratch(spark)
+    t, base = suffix_dedup.with_keys(docs(spark, [x, x, x + y, y], [None, 4, 5, None]), scratch)
+    out = suffix_dedup.digests(t, base, suffix_dedup.find_spans(t, scratch), scratch).collect()
+    assert sorted((r["doc_id"] or 9, r["n_bytes"], r["n_removed"]) for r in out) == [(4, 200, 0), (5, 400, 200), (9, 200, 200), (9, 200, 200)]
+    t, base = suffix_dedup.with_keys(docs(spark, [x, x + y], [None, 5]), scratch)
+    assert sorted((r["doc_id"] or 9, r["n_removed"]) for r in suffix_dedup.digests(t, base, suffix_dedup.find_spans(t, scratch), scratch).collect()) == [(5, 0), (9, 200)]
+    t, base = suffix_dedup.with_keys(docs(spark, [x, None, x], [4, 7, None]), scratch)
+    assert sorted((r["doc_id"] or 9, r["n_removed"]) for r in suffix_dedup.digests(t, base, suffix_dedup.find_spans(t, scratch), scratch).collect()) == [(4, 0), (7, 0), (9, 200)]
     scratch = Scratch(spark)
     t, base = suffix_dedup.with_keys(docs(spark, [x, x + y, y, x, None, None], [None, 2, 2, 1, None, 3]), scratch)
     spans = suffix_dedup.find_spans(t, scratch)
