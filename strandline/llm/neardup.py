@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import CHUNK, LOWER, NOT_SPACE, U64, chunks, lean, mix, per_row, shingles, span_hashes, spans
-from ._spark import Scratch
+from ._spark import Scratch, small
 from .components import components
 
 BIN_BITS, ROWS = 7, 4
@@ -32,6 +32,8 @@ BINS = 1 << BIN_BITS
 BANDS = BINS // ROWS
 #: Members that are compared with as many others in one group of the exact pass.
 BLOCK = 256
+#: Up to so many linked nodes, or open buckets, are broadcast (24 bytes each); beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 EMPTY = U64(2**64 - 1)
 
 
@@ -185,17 +187,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, threshold:
     edges = scratch.table(star.join(a, "u").join(b, "v").filter(similar).select("u", "v").distinct(), "edges")
     comp = components(edges, scratch, "first")
     # the members that no centre accounts for
-    left = members.filter("many > 2").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lead = left.groupBy("h").agg(F.max(F.when(F.col("node") == F.col("c1.node"), F.col("component"))).alias("lead"))
-    left = left.join(lead, "h").withColumn("asks", F.col("component") != F.col("lead")).filter((F.col("node") != F.col("c1.node")) & (F.col("node") != F.col("c2.node")))
+    light = lambda df: F.broadcast(df) if small(df, BROADCAST_ROWS) else df  # noqa: E731  a shuffle by bucket would gather the largest one
+    comp = light(comp)
+    left = members.filter("many > 2").withColumn("lead", F.col("c1.node")).join(comp, "node", "left")
+    left = left.join(comp.select(F.col("node").alias("lead"), F.col("component").alias("group")), "lead", "left")
+    left = left.withColumn("component", F.coalesce("component", "node")).withColumn("asks", F.col("component") != F.coalesce("group", "lead"))
+    left = left.filter((F.col("node") != F.col("c1.node")) & (F.col("node") != F.col("c2.node")))
     left = scratch.table(left.select("h", "node", "component", "asks"), "left")
     sizes = left.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("mb"), F.ceil(F.count_if("asks") / block).cast("int").alias("ub")).filter("ub > 0")
-    left = left.join(sizes, "h")
+    left = left.join(light(sizes), "h")
     part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = F.sequence(F.lit(0), F.col("ub") - 1)
     others = left.select("h", part(F.col("mb")).alias("mb"), F.explode(every).alias("ub"), F.lit(False).alias("asks"), "node", "component")
     asking = left.filter("asks").select("h", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mb"), part(F.col("ub")).alias("ub"), F.lit(True).alias("asks"), "node", "component")
-    grid = others.unionAll(asking).join(sets, "node")
+    grid = others.unionAll(asking).join(sets, "node").select("h", "mb", "ub", "asks", "node", "component", "s")
     more = grid.repartition("h", "mb", "ub").sortWithinPartitions("h", "mb", "ub").mapInArrow(_finisher(threshold), "u long, v long")
     more = scratch.table(more.distinct(), "more")
     if more.head(1):
