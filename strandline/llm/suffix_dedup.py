@@ -38,7 +38,7 @@ LENGTH, GRAM = 100, 32
 SEGMENT, SHARD, HOT = 1 << 18, 1 << 19, 2048
 #: Windows of a block; more of equal anchors make further blocks.
 MOST_WINDOWS = 256
-#: Up to so many copies of texts their ids are broadcast; beyond, they are joined by shuffle.
+#: Up to so many ids of copies of texts, or hot anchors, are broadcast; beyond, they are joined by shuffle.
 BROADCAST_COPIES = 1_000_000
 SPAN = "key long, start long, end long"
 
@@ -348,8 +348,9 @@ def find_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, shard:
     total = asked.agg(F.count(F.lit(1)), F.sum(windows + length)).head()
     if total[0]:
         many = asked.groupBy("fp").count().filter(F.col("count") > hot).select("fp", F.lit(True).alias("hot"))
+        few = small(many, BROADCAST_COPIES)
         shards = max(1, -(-int(total[1]) // shard))
-        asked = asked.join(many, "fp", "left").select("key", "at", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int").alias("shard"))
+        asked = asked.join(F.broadcast(many) if few else many, "fp", "left").select("key", "at", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int").alias("shard"))
         by_text = asked.groupBy("key").agg(F.collect_list(F.struct("at", "shard", "hot")).alias("asked"))  # no more than the text has
         cut = scratch.table(_beside(long, by_text).select("key", "text", "asked").mapInArrow(_cut(length), "shard int, hot boolean, key long, start long, bytes binary"), "cut")
         cold = cut.filter("not hot").select("shard", "key", "start", "bytes").repartition(shards, "shard").sortWithinPartitions("shard", "key", "start")
