@@ -147,13 +147,16 @@ def _matcher(blocks):
                         d = np.flatnonzero(np.diff(np.concatenate(([0], inside[start[r] : end[r]].view(np.int8), [0]))))
                         runs[lo + r] = [{"start": a, "end": b} for a, b in zip(d[0::2].tolist(), d[1::2].tolist(), strict=True)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(words), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(runs, kind)], ["doc_id", "n_words", "n_hit", "item_ids", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(words), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(runs, kind), *batch.columns[2:]], ["doc_id", "n_words", "n_hit", "item_ids", "runs", *batch.schema.names[2:]])
 
     return match
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, n_hit, item_ids (those with occurring windows) and runs of hit words."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, size: int = WINDOW, block_words: int = BLOCK_WORDS, keep=()) -> DataFrame:
+    """A row for each row of docs: doc_id, n_words, n_hit, item_ids (those with occurring windows) and runs of hit words.
+
+    keep: columns of docs that are carried along.
+    """
     spark = docs.sparkSession
     blocks, items, words = [], [], 0
     for x in benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
@@ -171,7 +174,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch,
         total[b][w] = n
     for b, t in zip(blocks, total, strict=True):
         b.order(t)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_matcher([spark.sparkContext.broadcast(b) for b in blocks]), HITS)
+    kept = "".join(f", {k} {t}" for k, t in docs.select(*keep).dtypes)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(_matcher([spark.sparkContext.broadcast(b) for b in blocks]), HITS + kept)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

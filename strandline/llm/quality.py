@@ -177,12 +177,12 @@ def fit(x: np.ndarray, y: np.ndarray, prior: float) -> Trees:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = statistics(b.column(2))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], ["doc_id", "held_out", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())), *b.columns[3:]], ["doc_id", "held_out", "x", *b.schema.names[3:]])
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, held_out, text. The statistics x of each whole text."""
-    return docs.select("doc_id", "held_out", "text").mapInArrow(_measure, "doc_id long, held_out boolean, x array<float>")
+def measure(docs: DataFrame, keep=()) -> DataFrame:
+    """docs: doc_id, held_out, text. The statistics x of each whole text. keep: columns of docs that are carried along."""
+    return docs.select("doc_id", "held_out", "text", *keep).mapInArrow(_measure, ", ".join(["doc_id long, held_out boolean, x array<float>", *(f"{k} {t}" for k, t in docs.select(*keep).dtypes)]))
 
 
 def learn(measured: DataFrame, labels: DataFrame, learn_from, each: int = SAMPLE) -> Trees:
@@ -200,21 +200,24 @@ def _scorer(model):
         m = model.value
         for b in batches:
             p = m.probability(np.asarray(b.column(2).flatten()).reshape(-1, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *b.columns[3:]], ["doc_id", "held_out", "score", "predicted", *b.schema.names[3:]])
 
     return score
 
 
 def score(measured: DataFrame, model: Trees) -> DataFrame:
-    """doc_id, held_out, score, predicted of each measured document."""
+    """doc_id, held_out, score, predicted of each measured document, and the columns that were carried along."""
     held = measured.sparkSession.sparkContext.broadcast(model)  # some kilobytes, whatever the corpus
-    return measured.mapInArrow(_scorer(held), "doc_id long, held_out boolean, score double, predicted int")
+    return measured.mapInArrow(_scorer(held), ", ".join(["doc_id long, held_out boolean, score double, predicted int", *(f"{k} {t}" for k, t in measured.dtypes[3:])]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs: doc_id, text; labels: doc_id, quality. Learns from labels whose crc32 of the id modulo 3 is not 1; scores every row."""
+def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep=()) -> DataFrame:
+    """docs: doc_id, text; labels: doc_id, quality. Learns from labels whose crc32 of the id modulo 3 is not 1; scores every row.
+
+    keep: columns of docs that are carried along.
+    """
     held = remainder(F.col("doc_id"), 3) == 1
-    measured = scratch.table(measure(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")), "statistics")
+    measured = scratch.table(measure(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text", *keep), keep), "statistics")
     return score(measured, learn(measured, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), ~held))
 
 

@@ -39,3 +39,39 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
     spark.createDataFrame([(5, 1, 0), (0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
+def _stage_input(spark, tmp_path, rows, labels, benchmark):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    return spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+
+def _kept(df):
+    return sorted(((r["doc_id"], r["text"], r["source"]) for r in df.collect()), key=str)
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Null and repeated ids: each row stays or goes by its own text."""
+    good = " ".join(f"River {k} runs past the old mill, and the town sleeps." for k in range(12))
+    bad = "$$ @@ ## buy buy buy buy %% ^^ " * 12
+    item = " ".join(f"bench{k}" for k in range(12))
+    labels = [(100 + k, k % 2, 0) for k in range(60)]
+    learnt = [(100 + k, (good if k % 2 else bad) + str(k), "en", "l", 0) for k in range(60)]
+    one, two = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [
+        (None, bad, "en", "a", 0), (None, good, "en", "b", 0), (1, bad, "en", "c", 0), (1, good, "en", "d", 0), (None, f"so {item} end", "en", "e", 0), (2, f"so {item} end", "en", "f", 0), (2, good, "en", "g", 0),
+        (3, one, "en", "i", 0), (3, one, "en", "h", 0), (3, two, "en", "j", 0), (None, one + " x", "en", "k", 0), (4, two, "en", "m", 0), (None, "p q r", "en", "n", 0), (None, "p q r", "en", "o", 0),
+        (5, "", "en", "p", 0), (5, "", "en", "q", 0), (5, None, "en", "r", 0), (None, None, "en", "s", 0), (None, None, "en", "t", 0),
+    ]
+    d = _stage_input(spark, tmp_path, learnt + rows, labels, [(1, item)])
+    odd = {r[3] for r in rows}
+    left = {x[2] for x in _kept(corpus_pipeline.quality(spark, d, str(tmp_path)))} & odd
+    assert {"b", "d", "g"} <= left and not {"a", "c"} & left
+    left = {x[2] for x in _kept(corpus_pipeline.decontaminate(spark, d, str(tmp_path)))} & odd
+    assert left == odd - {"e", "f"}
+    only = d.filter("source <> 'l'")
+    # a and c, b and d and g, e and f, h and i and k, j and m, n and o; the rows of 5 without words
+    want = [r for r in rows if r[3] in set("cdfhjnprst")]
+    assert _kept(corpus_pipeline.near_dedup(spark, only, str(tmp_path))) == sorted(((r[0], r[1], r[3]) for r in want), key=str)
