@@ -312,21 +312,21 @@ def with_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     base = scratch.table(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")), "base")
     first = scratch.table(base.groupBy("sha").agg(F.min("doc_id").alias("first")), "first")
     state = first.agg(F.count(F.lit(1)), F.count_distinct("first")).head()
-    if state[0] == state[1]:
-        keyed = first.withColumn("key", F.col("first"))
-    else:
-        order = first.select("first", "sha").orderBy(F.col("first").asc_nulls_last(), "sha").rdd.zipWithIndex().map(lambda x: (x[0][1], x[0][0], x[1]))
-        keyed = scratch.table(scratch.spark.createDataFrame(order, "sha string, first long, key long"), "keyed")
-    base = base.join(keyed, "sha", "left").withColumn("copy", F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))).drop("first")
-    base = scratch.table(base.select("doc_id", "key", "n_bytes", "sha", "copy"), "rows")
-    if state[0] == state[1]:
+    copy = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
+    base = scratch.table(base.join(first, "sha").select("doc_id", "first", "n_bytes", "sha", copy.alias("copy")), "rows")
+    gone = base.filter("copy").select("doc_id").distinct()
+    # ids tell the texts apart if no text's first row has the id of another's, be that a first row too or a copy
+    if state[0] == state[1] and not gone.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").head(1):
         # copies differ from all others by their id; a null id is that of a copy
-        gone = base.filter("copy").select("doc_id").distinct()
+        base = base.withColumnRenamed("first", "key")
         gone = F.broadcast(gone) if small(gone, BROADCAST_COPIES) else gone
         texts = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "text")
         if base.filter("not copy").count() > state[0]:  # whole rows that repeat
             texts = texts.distinct()
     else:
+        order = first.select("first", "sha").orderBy(F.col("first").asc_nulls_last(), "sha").rdd.zipWithIndex().map(lambda x: (x[0][1], x[1]))
+        keyed = scratch.table(scratch.spark.createDataFrame(order, "sha string, key long"), "keyed")
+        base = scratch.table(base.join(keyed, "sha").select("doc_id", "key", "n_bytes", "sha", "copy"), "keyed_rows")
         texts = docs.withColumn("sha", sha).dropDuplicates(["sha"]).join(keyed, "sha").select("key", "text")
     return texts, base
 

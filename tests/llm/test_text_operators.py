@@ -358,6 +358,15 @@ def test_passages_with_null_and_repeated_ids(spark):
     assert {out[2, 400], out[2, 200]} in ({400, 0}, {200, 200})
 
 
+def test_passages_of_an_id_with_a_text_and_a_copy(spark):
+    rng = random.Random(2)
+    a, b = ("".join(rng.choice("abc") for _ in range(200)) for _ in range(2))
+    scratch = Scratch(spark)
+    t, base = suffix_dedup.with_keys(docs(spark, [b, a + a, b, "xyz" + a], [3, 5, 5, 8]), scratch)
+    out = suffix_dedup.digests(t, base, suffix_dedup.find_spans(t, scratch), scratch).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in out) == [(3, 200, 0), (5, 200, 200), (5, 400, 200), (8, 203, 200)]
+
+
 def test_run_length_index():
     rng = random.Random(9)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(40)] + [b"\xff" * 12, b"", b"\x00\x00"]
