@@ -10,8 +10,8 @@ returned. Components of the confirmed edges are the groups.
 So two texts of similarity s >= 0.8 are missed only if they share none of the 32 bands: (1 - s^4)^32, under 5e-8.
 
 Words are runs of [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased. With fewer words than a shingle, the whole sequence is one. Null and empty
-texts have no shingles and are linked with nothing. Rows of equal doc_id are judged each by its own text. A null doc_id links nothing and
-has a null component. An empty table gives an empty result. Extra columns are not read.
+texts have no shingles and are linked with nothing. Rows of equal doc_id are judged each by its own text, and a component is named by the
+smallest doc_id of its rows. A null doc_id links nothing and has a null component. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -166,6 +166,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, threshold:
     The similarity of linked texts is the share of common `size`-word shingles among all of both.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").head(1):
+        return _groups(docs, scratch, size, threshold, block)
+    # ids that name several rows name no node: each row with an id gets a key, and each component the smallest id of its rows
+    keyed = scratch.table(docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("row")), "keyed")
+    found = _groups(keyed.select(F.col("row").alias("doc_id"), "text"), scratch, size, threshold, block)
+    found = scratch.table(found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("component")), "found")
+    ids = found.join(keyed.select("row", "doc_id"), "row")
+    least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return ids.join(least, "component").select("doc_id", "n_shingles", "component_id").unionAll(found.filter("row is null").select("row", "n_shingles", "component"))
+
+
+def _groups(docs: DataFrame, scratch: Scratch, size: int, threshold: int, block: int) -> DataFrame:
+    """near_duplicates of docs whose ids, where not null, are distinct."""
     rows = scratch.table(docs.mapInArrow(_sketcher(size), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
     some = rows.filter("n > 0 and doc_id is not null")
     nodes = scratch.table(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("node"), "r.n", "r.bands"), "nodes")

@@ -465,6 +465,18 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert sorted(out, key=str) == sorted([(4, 4), (None, None), (4, 4), (7, 4), (None, None)], key=str)
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, [a, b, a + " more", b, b + " on", c, None, None, a], [5, 5, 7, 3, 9, 9, 9, None, None]), Scratch(spark)).collect()]
+    want = [(5, 46, 5), (5, 46, 3), (7, 47, 5), (3, 46, 3), (9, 47, 3), (9, 46, 9), (9, 0, 9), (None, 0, None), (None, 46, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # both texts are the smallest of their sets
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, [a, b, a + " more", b + " on"], [5, 5, 7, 9]), Scratch(spark)).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5)}
+    found = neardup.near_duplicates(docs(spark, [a, b, c, c + " on", b], [5, 5, 6, 5, 4]), Scratch(spark)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(4, 4), (5, 4), (5, 5), (5, 5), (6, 5)]
+
+
 # all
 
 
