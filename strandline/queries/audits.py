@@ -29,7 +29,7 @@ def query(sql=None):
 
 @query()
 def compatibility_audit(spark, sf_dir):
-    good = [(n.hash(), n.prefix()) for n in list(Grammar().enumerate(2))[:50]]
+    good = [(n.hash(), n.prefix()) for nodes in (1, 2) for n in Grammar().enumerate(nodes)]
     rows = [*good, ("0" * 64, ["open"]), ("1" * 64, ["add", "open"]), ("2" * 64, ["close", "open"]), ("3" * 64, ["nope"]), ("4" * 64, None), ("5" * 64, ["neg"] * 20 + ["open"])]
     return audit.compatibility(spark.createDataFrame(rows, "hash string, tokens array<string>"))
 

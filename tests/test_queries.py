@@ -2,6 +2,7 @@ import pytest
 from conftest import same
 
 import __spark_entry__
+from strandline.plans.grammar import Grammar
 from strandline.queries import ORACLE_SQL, QUERIES
 
 
@@ -19,3 +20,9 @@ def test_entry(spark, small):
     out = __spark_entry__.entry(spark)
     assert out.columns == ["t", "stock", "value"] and out.filter("value is not null").count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_audit_of_all_small_expressions(spark, small):
+    got = QUERIES["compatibility_audit"](spark, small).groupBy("verdict").count().collect()
+    want = [n.hash() for k in (1, 2) for n in Grammar().enumerate(k)]
+    assert len(set(want)) == len(want) and dict(tuple(r) for r in got)["accept"] == len(want) > 600
