@@ -113,6 +113,11 @@ def join_inner(spark, sf_dir):
     return lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_totalprice")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def join_inner_whole(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_totalprice")
+
+
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
 def join_left_checked(spark, sf_dir):
     some = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").withColumnRenamed("c_custkey", "o_custkey")
