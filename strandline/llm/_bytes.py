@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 TABLE = np.random.default_rng(20240601).integers(0, 2**64, 256, dtype=U64) | U64(1)
-BASE = 0x9E3779B97F4A7C15
-_powers: dict = {}
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,17 +40,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + (1 << 16))
-        for key, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _powers[key] = np.cumprod(x, dtype=U64)
-    return _powers["up"], _powers["down"]
-
-
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text or binary column and the len + 1 offsets of its rows; null is empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -81,20 +71,29 @@ def spans(buf: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever the span stands; spans are in order and disjoint."""
-    out = np.empty(len(starts), U64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
-        at, part = starts[i], buf[starts[i] : ends[j - 1]]
-        up, down = powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, U64)
-        np.cumsum(TABLE[part] * up[: len(part)], out=total[1:])
-        a = starts[i:j] - at
-        out[i:j] = (total[ends[i:j] - at] - total[a]) * down[a]
-        i = j
-    return mix(out + (ends - starts).astype(U64))
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, the same wherever the span stands; spans may overlap.
+
+    Eight bytes at a time go through a bijection that isn't linear, so spans of up to eight bytes never collide with others of their
+    length, and no family of texts collides by construction. Spans over LONG_SPAN bytes have a BLAKE2b hash.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(U64) * U64(0xD1B54A32D192ED03) + U64(0x9E3779B97F4A7C15 + seed))
+    if not len(size):
+        return out
+    lanes = np.ndarray(len(buf), "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), 0, (1,))  # eight bytes from each byte on
+    at = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    k = 0
+    while len(at):
+        left = size[at] - 8 * k
+        lane = lanes[starts[at] + 8 * k] & (U64(2**64 - 1) >> (U64(8) * (8 - np.minimum(left, 8)).astype(U64)))
+        out[at] = mix(out[at] * U64(0xBF58476D1CE4E5B9) + lane)
+        at = at[left > 8]
+        k += 1
+    for i in np.flatnonzero(size > LONG_SPAN):
+        h = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(h.digest(), "little")
+    return out
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

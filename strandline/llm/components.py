@@ -24,6 +24,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         k += 1
         now = scratch.table(small, f"{name}{k}")
+        scratch.drop(f"{name}{k - 1}")
+        scratch.drop(f"{name}{k - 1}l")
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u") - F.col("v"))).head()
         if state == mark:
             break

@@ -5,8 +5,9 @@ Each letter has a random vector of +1 and -1. An n-gram is bound from the vector
 prototype has the largest cosine with it; ties go to the first name. The score is that cosine, at least 0.
 
 Letters are Unicode letters, lower-cased; a run of other characters is one boundary. A null text and one without a letter are `und` with
-score 0; so is every text if nothing was learnt. A row with a null id is judged like any other. An empty table gives an empty result.
-Extra columns are not read. Sums are of small integers and exact in any order.
+score 0; so is every text if nothing was learnt. A row with a null or repeated id is judged like any other. A very long text is bundled
+whole, its n-grams a few thousand at a time. An empty table gives an empty result. Extra columns are not read. Sums are of small integers
+and exact in any order.
 """
 
 from __future__ import annotations
@@ -130,7 +131,8 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
-    model = learn(docs.filter("not held_out"))
-    return scratch.keep(identify(docs.drop("lang"), *model))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
+    with Scratch(spark, table) as scratch:
+        model = learn(docs.filter("not held_out"))
+        return scratch.keep(identify(docs.drop("lang"), *model))

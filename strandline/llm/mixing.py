@@ -5,7 +5,8 @@ the budget of a source ends. Only the rows of that boundary bucket are summed ag
 holds rows of a single hash. What lies below the threshold is taken: a filter, no sort of the rows.
 
 Null ids share one hash; rows of equal id have equal hashes and are taken together. A null source is a source. Empty and null texts have
-size 0 and are taken 0 words of. An empty table gives an empty result. Extra columns are not read.
+size 0 and are taken 0 words of; very long texts are counted as they stand, within a task. An empty table gives an empty result. Extra
+columns are not read. Sources have a row each in one sorted window: their number is that of sources, not of documents.
 """
 
 from __future__ import annotations
@@ -58,8 +59,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     A document is taken as many whole times as the target holds its source, at most twice here, and those below the hash threshold once
     more. The row at the threshold is taken where that comes nearer to the target. keep: columns of docs that are carried along.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(docs.select(F.col(key).alias("k"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key)).alias("h")), "rows")
+    with Scratch(docs.sparkSession, docs) as scratch:
+        return scratch.keep(_mixed(docs, scratch, key, text, source, keep, how))
+
+
+def _mixed(docs: DataFrame, scratch: Scratch, key: str, text: str, source: str, keep, how: dict) -> DataFrame:
+    sized = [F.col(key).alias("k"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key)).alias("h")]
+    rows = scratch.table(docs.select(*sized), "rows")
     totals = scratch.table(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **how).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "sources")
     few = small(totals, BROADCAST_SOURCES)
     hint = F.broadcast if few else (lambda df: df)
@@ -85,9 +91,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     threshold = edge.select("source", F.when(F.col("words") <= 2 * (F.col("rest") - F.col("below")), F.col("most")).otherwise(F.col("least") - 1).alias("last"))
     plan = totals.join(hint(threshold.withColumnRenamed("source", "s")), totals["source"].eqNullSafe(F.col("s")), "left").drop("s")
     plan = scratch.table(plan.select("source", "source_size", "target", "epochs", F.when(F.col("last").isNotNull(), F.col("last")).when(F.col("rest") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(-1)).cast("long").alias("last")), "plan")
-    out = joined(rows, plan)
-    out = out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", "target", (F.col("size") * (F.col("epochs") + (F.col("h") <= F.col("last")).cast("long"))).alias("taken"))
-    return scratch.keep(out)
+    # carried columns, such as texts, are read again with their rows rather than written twice
+    out = joined(docs.select(*sized, F.struct(*keep).alias("carried")) if keep else rows, plan)
+    taken = (F.col("size") * (F.col("epochs") + (F.col("h") <= F.col("last")).cast("long"))).alias("taken")
+    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken, *([F.col("carried")[c].alias(c) for c in keep]))
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

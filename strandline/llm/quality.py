@@ -6,7 +6,7 @@ a batch at once.
 
 Words are runs of [^\\x20\\x09-\\x0D]+. Null and empty texts have statistics of zero and are scored from them. If a label is missing from
 the sample, every score is the share of label 1 in it (0.5 without labels). Rows with null or repeated ids are judged each on its own.
-An empty table gives an empty result. Extra columns are not read.
+A very long text is measured whole, alone in its chunk. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -222,5 +222,6 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep=()) -> D
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    return scratch.keep(classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with Scratch(spark, docs) as scratch:
+        return scratch.keep(classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch))

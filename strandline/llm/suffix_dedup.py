@@ -7,17 +7,18 @@ document. Strings are judged on the input; matches never cross documents.
 2. Every window of `length` bytes has an anchor: the rightmost of its k-grams with the smallest hash. Equal windows have equal anchors.
    Windows in a row with equal anchors form a block; a row goes out for each block (one every 35 bytes or so, fewer in periodic text),
    and rows meet by the anchor's hash. Equal blocks: all but the first are repeats. Blocks that share an anchor and differ, or hold it
-   several times, go to the index.
+   several times, go to the index. Rows of a crowded anchor are summed by block before they meet, so copies never gather in a task.
 3. A shard of the index is the concatenation of such blocks, in order of document and place. From its suffixes comes the Burrows-Wheeler
-   transform, kept as runs, with a sample at each run's first and last row: text position, and common prefix with the row before or
-   after. Between samples these lengths fall by one with each byte, so the matching statistics of the whole shard against the rest of it
-   are streamed from the samples. Windows with a statistic of `length` or more are the long matches; of each class of equal windows the
-   first stays.
+   transform, kept as runs, with a sample at each run's first and last row: text position, that of the row before or after, and the common
+   prefix with it. Between samples these move along with the text, so the matching statistics of the whole shard against the rest of it
+   are streamed from the samples. Windows with a statistic of `length` or more are the long matches; of each class of equal windows, a
+   chain of neighbouring rows, the first stays.
 4. An anchor with so many different blocks that they would not fit a shard has its windows compared by 128-bit hashes in an aggregation.
 
 Null texts are empty. Rows of equal id and text are one document; of several texts with one id the one with the smaller hash comes
-first; null ids come last. Texts under `length` bytes lose nothing. An empty table gives an empty result. Extra columns are not read.
-Equality of documents rests on 128 bits of SHA-256, that of blocks on two 64-bit hashes; windows in the index are compared byte by byte.
+first; null ids come last. Texts under `length` bytes lose nothing. A very long text is hashed SEGMENT bytes at a time, and only its asked
+blocks are cut out. An empty table gives an empty result. Extra columns are not read. Equality of documents rests on 128 bits of SHA-256,
+that of blocks on two 64-bit hashes; windows in the index are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import TABLE, U64, bytes_of, chunks, lean, mix, powers, slices
+from ._bytes import TABLE, U64, bytes_of, chunks, lean, slices, span_hashes
 from ._spark import Scratch, small
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at once; bytes of blocks in a shard of the index; blocks of an anchor beyond which its windows are aggregated.
 SEGMENT, SHARD, HOT = 1 << 18, 1 << 19, 2048
+#: Rows of an anchor beyond which its blocks are summed before they meet, in a large corpus beyond a few times the mean of a counter; rows
+#: are counted by so many low bits of anchors.
+CROWD, COUNTERS = 4096, 16
 #: Windows of a block; more of equal anchors make further blocks.
 MOST_WINDOWS = 256
 #: Up to so many ids of copies of texts, or hot anchors, are broadcast; beyond, they are joined by shuffle.
@@ -91,10 +95,7 @@ def blocks(buf: np.ndarray, own: np.ndarray, length: int):
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start, again = np.repeat(start, pieces) + nth * MOST_WINDOWS, np.repeat(again, pieces)
             windows = np.minimum(np.repeat(windows, pieces) - nth * MOST_WINDOWS, MOST_WINDOWS)
-        up, down = powers(len(b) + 1)
-        s = np.zeros(len(b) + 1, U64)
-        np.cumsum(TABLE[b] * up[: len(b)], out=s[1:])
-        whole = mix((s[start + windows + length - 1] - s[start]) * down[start] + windows.astype(U64) * U64(0xD1B54A32D192ED03))
+        whole = span_hashes(b, start, start + windows + length - 1)
         row = np.searchsorted(own, start + lo, "right") - 1
         yield row, (start + lo - own[row]) << 16 | again.astype(np.int64) << 15 | windows, anchor[start], whole
 
@@ -177,7 +178,8 @@ class RunLengthIndex:
 
     A string ends in a separator below all bytes; of equal suffixes that of the earlier string comes first. heads: the symbol of each
     run (0 the separator, else byte + 1) and its first row. first, last: text positions of the runs' first and last rows in ascending
-    order, with the length of the common prefix with the row before (after).
+    order, with the text position of the row before (after) and the length of the prefix common with it. Suffixes are sorted to build the
+    transform and not kept: what is kept has an entry for each run, and all that is asked is streamed from the samples.
     """
 
     def __init__(self, strings: list[bytes]):
@@ -204,9 +206,9 @@ class RunLengthIndex:
                 break
             key = rank * (n + 1) + np.where(width <= left, rank[np.minimum(place + width, n - 1)], 0)
             width *= 2
-        self.suffixes = np.argsort(rank * n + place)
-        bwt = symbols[self.suffixes - 1]
-        bwt[place[self.suffixes] == 0] = 0
+        suffixes = np.argsort(rank * n + place)
+        bwt = symbols[suffixes - 1]
+        bwt[place[suffixes] == 0] = 0
         edge = np.ones(n + 1, bool)
         edge[1:-1] = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)
         rows = np.flatnonzero(edge)
@@ -214,9 +216,9 @@ class RunLengthIndex:
         first, last = rows[:-1], rows[1:] - 1
 
         def sample(row, other):
-            """Position of each row, and its common prefix with another row (0 if there is none)."""
+            """Position of each row, that of another row, and their common prefix (0 if there is no other)."""
             there = (other >= 0) & (other < n)
-            p, q = self.suffixes[row], self.suffixes[np.where(there, other, row)]
+            p, q = suffixes[row], suffixes[np.where(there, other, row)]
             a, b = p.copy(), q.copy()
             for r, w in zip(reversed(ranks), (7 << k for k in reversed(range(len(ranks)))), strict=True):
                 ok = (left[a] >= w) & (left[b] >= w) & (r[a] == r[b])
@@ -225,31 +227,46 @@ class RunLengthIndex:
                 ok = (symbols[a] == symbols[b]) & (symbols[a] > 0)
                 a, b = a + ok, b + ok
             by = np.argsort(p)
-            return p[by], np.where(there, a - p, 0)[by]
+            return p[by], q[by], np.where(there, a - p, 0)[by]
 
         self.first, self.last = sample(first, first - 1), sample(last, last + 1)
 
-    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """At each text position, the common prefix with the row before and with the row after, streamed from the samples."""
+    def statistics(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """At each text position: the position of the row before and the common prefix with it, and the same of the row after.
+
+        Inside a run the row before moves along with the position, and the common prefix falls by one with each byte. A position without
+        a row before (after) has a common prefix of 0.
+        """
         place = np.arange(int(self.offsets[-1]))
 
         def stream(samples):
             k = np.searchsorted(samples[0], place, "right") - 1
-            return np.where(k >= 0, np.maximum(samples[1][k] - (place - samples[0][k]), 0), 0)
+            by = np.where(k >= 0, place - samples[0][k], 0)
+            return np.where(k >= 0, samples[1][k] + by, 0), np.where(k >= 0, np.maximum(samples[2][k] - by, 0), 0)
 
-        return stream(self.first), stream(self.last)
+        return *stream(self.first), *stream(self.last)
 
     def repeats(self, length: int) -> np.ndarray:
-        """Text positions whose next `length` bytes also stand at an earlier position, ascending."""
-        before, after = self.statistics()
-        marked = np.maximum(before, after) >= length
-        rows = np.flatnonzero(marked[self.suffixes])
-        if not len(rows):
-            return rows
-        p = self.suffixes[rows]
-        head = np.flatnonzero(before[p] < length)  # classes of equal windows are runs of rows
-        least = np.repeat(np.minimum.reduceat(p, head), np.diff(np.concatenate((head, [len(p)]))))
-        return np.sort(p[p != least])
+        """Text positions whose next `length` bytes also stand at an earlier position, ascending.
+
+        Rows with a statistic of `length` or more chain positions of equal windows; the first of a chain is found by doubling its links.
+        """
+        above, before, below, after = self.statistics()
+        p = np.flatnonzero(np.maximum(before, after) >= length)
+        if not len(p):
+            return p
+        at = np.zeros(int(self.offsets[-1]), np.int64)
+        at[p] = np.arange(len(p))
+        least = p
+        for other, common in ((above, before), (below, after)):
+            link, low = np.where(common[p] >= length, at[other[p] * (common[p] >= length)], np.arange(len(p))), p
+            while True:
+                low, further = np.minimum(low, low[link]), link[link]
+                if np.array_equal(further, link):
+                    break
+                link = further
+            least = np.minimum(least, low)
+        return p[p != least]
 
 
 def _runs(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,14 +307,17 @@ def _index(length: int):
 
 
 def _windows(length: int):
-    """128 bits of each window of the blocks of hot anchors."""
+    """Two 64-bit hashes of each window of the blocks of hot anchors."""
 
     @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for key, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(len(data) - length + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(np.full(len(x), key)), pa.array(start + np.arange(len(x)))], ["w", "key", "start"])
+            data, off = bytes_of(b.column(2))
+            n = np.diff(off) - length + 1
+            at = np.repeat(off[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(np.asarray(b.column(1)), n) + at - np.repeat(off[:-1], n)
+            key = np.repeat(np.asarray(b.column(0)), n)
+            yield pa.RecordBatch.from_arrays([*(pa.array(span_hashes(data, at, at + length, seed).view(np.int64)) for seed in (1, 2)), pa.array(key), pa.array(start)], ["w1", "w2", "key", "start"])
 
     return windows
 
@@ -324,8 +344,8 @@ def with_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         if base.filter("not copy").count() > state[0]:  # whole rows that repeat
             texts = texts.distinct()
     else:
-        order = first.select("first", "sha").orderBy(F.col("first").asc_nulls_last(), "sha").rdd.zipWithIndex().map(lambda x: (x[0][1], x[1]))
-        keyed = scratch.table(scratch.spark.createDataFrame(order, "sha string, key long"), "keyed")
+        order = first.select("first", "sha").orderBy(F.col("first").asc_nulls_last(), "sha")  # numbers ascend with the sorted partitions
+        keyed = scratch.table(order.select("sha", F.monotonically_increasing_id().alias("key")), "keyed")
         base = scratch.table(base.join(keyed, "sha").select("doc_id", "key", "n_bytes", "sha", "copy"), "keyed_rows")
         texts = docs.withColumn("sha", sha).dropDuplicates(["sha"]).join(keyed, "sha").select("key", "text")
     return texts, base
@@ -336,12 +356,36 @@ def _beside(texts: DataFrame, marks: DataFrame) -> DataFrame:
     return texts.join(marks.hint("merge"), "key")
 
 
-def find_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+def _meetings(blocks_: DataFrame, scratch: Scratch, length: int, crowd: int) -> DataFrame:
+    """key, at, fp, ask: repeats of blocks, and firsts of blocks that the index is asked for.
+
+    An anchor's blocks meet in one task, as a stream. Where that would be too many, they are summed by anchor and block first, so that
+    copies never gather, and the rows then join their block's first: rows of one anchor spread over tasks.
+    """
+    total = blocks_.count()
+    part = F.col("fp").bitwiseAND((1 << COUNTERS) - 1)
+    counts = blocks_.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # no more rows than there are counters
+    crowded = scratch.table(counts.filter(F.col("n") > max(crowd, (total >> COUNTERS) * 8)).select("part"), "crowded")
+    meet = lambda rows: rows.repartition("fp").sortWithinPartitions("fp", "block", "key", "at").mapInArrow(_meet(length), "key long, at long, fp long, ask boolean")
+    if not crowded.head(1):
+        return scratch.table(meet(blocks_), "met")
+    beside = blocks_.withColumn("part", part).join(F.broadcast(crowded.withColumn("many", F.lit(True))), "part", "left")
+    rows = beside.filter("many").select("fp", "block", "key", "at")
+    firsts = scratch.table(rows.groupBy("fp", "block").agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    copied = firsts.filter("n > 1").drop("n")
+    copied = F.broadcast(copied) if small(copied, BROADCAST_COPIES) else copied
+    again = rows.join(copied, ["fp", "block"]).filter(F.struct("key", "at") != F.col("first")).select("key", "at", "fp", F.lit(False).alias("ask"))
+    several = firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("blocks"), F.bool_or(F.col("first.at").bitwiseAND(1 << 15) != 0).alias("twice")).filter("blocks > 1 or twice").select("fp")
+    several = F.broadcast(several) if small(several, BROADCAST_COPIES) else several
+    asked = firsts.join(several, "fp", "left_semi").select("first.key", "first.at", "fp", F.lit(True).alias("ask"))
+    return scratch.table(meet(beside.filter("many is null").select("fp", "block", "key", "at")), "met").unionAll(scratch.table(again, "met_again")).unionAll(scratch.table(asked, "met_asked"))
+
+
+def find_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, shard: int = SHARD, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     """texts: key, text, of distinct texts. (key, spans array<struct<start, end>>) of those with repeats."""
     long = texts.filter(F.octet_length("text") >= length)
-    rows = long.mapInArrow(_anchors(length), "fp long, block long, key long, at long")
-    met = rows.repartition("fp").sortWithinPartitions("fp", "block", "key", "at").mapInArrow(_meet(length), "key long, at long, fp long, ask boolean")
-    met = scratch.table(met, "met")
+    met = _meetings(scratch.table(long.mapInArrow(_anchors(length), "fp long, block long, key long, at long"), "blocks"), scratch, length, crowd)
+    scratch.drop("blocks")
     asked = met.filter("ask").select("key", "at", "fp")
     start, windows = F.shiftright("at", 16), F.col("at").bitwiseAND(0x7FFF)
     found = met.filter("not ask").select("key", start.alias("start"), (start + windows + (length - 1)).alias("end"))
@@ -356,9 +400,10 @@ def find_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, shard:
         cold = cut.filter("not hot").select("shard", "key", "start", "bytes").repartition(shards, "shard").sortWithinPartitions("shard", "key", "start")
         found = found.unionAll(cold.mapInArrow(_index(length), SPAN))
         if many.head(1):
-            w = scratch.table(cut.filter("hot").select("key", "start", "bytes").mapInArrow(_windows(length), "w binary, key long, start long"), "windows")
-            least = w.groupBy("w").agg(F.min(F.struct("key", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-            again = w.join(least, "w").filter(F.struct("key", "start") != F.col("least"))
+            w = scratch.table(cut.filter("hot").select("key", "start", "bytes").mapInArrow(_windows(length), "w1 long, w2 long, key long, start long"), "windows")
+            least = w.groupBy("w1", "w2").agg(F.min(F.struct("key", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+            least = scratch.table(least, "least_windows")
+            again = w.join(F.broadcast(least) if small(least, BROADCAST_COPIES) else least, ["w1", "w2"]).filter(F.struct("key", "start") != F.col("least"))
             found = found.unionAll(again.select("key", "start", (F.col("start") + length).alias("end")))
     return scratch.table(found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
@@ -447,6 +492,7 @@ def without_repeats(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    texts, base = with_keys(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch)
-    return scratch.keep(digests(texts, base, find_spans(texts, scratch), scratch))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with Scratch(spark, docs) as scratch:
+        texts, base = with_keys(docs, scratch)
+        return scratch.keep(digests(texts, base, find_spans(texts, scratch), scratch))

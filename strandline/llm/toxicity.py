@@ -7,8 +7,8 @@ passive-aggressive steps, and its margins become probabilities by a logistic cur
 training in turn.
 
 Null and empty texts have no feature and the score of the intercept. If a label is missing from the sample, every score is the share of
-label 1 in it (0.5 without labels). Rows with null or repeated ids are judged each on its own. An empty table gives an empty result.
-Extra columns are not read.
+label 1 in it (0.5 without labels). Rows with null or repeated ids are judged each on its own. A very long text is read whole, alone in
+its chunk, and has at most one feature for each hash value. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -98,6 +98,7 @@ def _train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
         counts[y, f] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio[counts.sum(0) < 2 * SMOOTH + LEAST_TEXTS] = 0
+    rows = [(f[ratio[f] != 0], y) for f, y in rows]  # the others would weigh nothing
     w, total, steps = np.zeros(size), np.zeros(size), 0
     bias, bias_total = 0.0, 0.0
     order = np.arange(len(rows))
@@ -163,8 +164,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
     held = remainder(F.col("doc_id"), 5) == 0
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    return scratch.keep(score(docs, learn(docs.select("doc_id", "text"), labels, ~held)))
+    with Scratch(spark, table) as scratch:
+        return scratch.keep(score(docs, learn(docs.select("doc_id", "text"), labels, ~held)))
