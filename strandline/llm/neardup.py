@@ -5,13 +5,17 @@ bins borrow from others by optimal densification. Four bins make a band; texts t
 one node. In each bucket, edges run from two centres (the smallest id, and the smallest hash of an id) to the other members: a star, not
 all pairs. Each edge is confirmed on the full sets. Then every bucket that still holds unconnected members is finished exactly: members
 not connected to the centre are compared with all others of the bucket, in blocks of bounded size, and only edges that connect are
-returned. Components of the confirmed edges are the groups.
+returned. Buckets that lead to one group hold mostly the same members, and are compared as one where that is no more work. Components of
+the confirmed edges are the groups.
 
-So two texts of similarity s >= 0.8 are missed only if they share none of the 32 bands: (1 - s^4)^32, under 5e-8.
+So two texts of similarity s >= 0.8 are missed only if they share none of the 32 bands: (1 - s^4)^32, under 5e-8. Sets hold 64-bit hashes
+of shingles, and equal sets are known by two 64-bit sums of them.
 
 Words are runs of [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased. With fewer words than a shingle, the whole sequence is one. Null and empty
-texts have no shingles and are linked with nothing. Rows of equal doc_id are judged each by its own text, and a component is named by the
-smallest doc_id of its rows. A null doc_id links nothing and has a null component. An empty table gives an empty result. Extra columns are not read.
+texts have no shingles and are linked with nothing. Very long texts are hashed a word at a time; their sets are as long as they have
+distinct shingles, and travel in Arrow batches bounded in bytes. Rows of equal doc_id are nodes of their own, judged each by its own text;
+a component is named by the smallest doc_id of its rows, so that two components have one name if both hold a row of that id. A null doc_id
+links nothing and has a null component. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ BINS = 1 << BIN_BITS
 BANDS = BINS // ROWS
 #: Members that are compared with as many others in one group of the exact pass.
 BLOCK = 256
+#: Members that are verified against one copy of their centre's set.
+FAN = 512
 #: Up to so many linked nodes, or open buckets, are broadcast (24 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 EMPTY = U64(2**64 - 1)
@@ -188,31 +194,44 @@ def _groups(docs: DataFrame, scratch: Scratch, size: int, threshold: int, block:
     members = scratch.table(buckets.join(centres.select("h", "many", "c1", F.struct("c2.node", "c2.n").alias("c2")), "h"), "members")
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * threshold  # noqa: E731  else the sets cannot be similar enough
     star = members.select("node", "n", F.explode(F.array("c1", "c2")).alias("c")).filter((F.col("c.node") != F.col("node")) & close(F.col("n"), F.col("c.n")))
-    star = scratch.table(star.select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct(), "star")
+    star = scratch.table(star.select(F.col("node").alias("m"), F.col("c.node").alias("c")).distinct(), "star")
     again = members.filter("many > 2").select("node")
-    needed = star.select(F.col("u").alias("node")).unionAll(star.select(F.col("v").alias("node"))).unionAll(again).distinct()
+    needed = star.select(F.col("m").alias("node")).unionAll(star.select(F.col("c").alias("node"))).unionAll(again).distinct()
     texts = docs.withColumnRenamed("doc_id", "node").join(needed, "node")
     sets = scratch.table(texts.mapInArrow(_setter(size), "node long, s array<long>"), "sets")
-    a = sets.select(F.col("node").alias("u"), F.col("s").alias("su"))
-    b = sets.select(F.col("node").alias("v"), F.col("s").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv"))
-    similar = both * 100 >= (F.size("su") + F.size("sv") - both) * threshold
-    edges = scratch.table(star.join(a, "u").join(b, "v").filter(similar).select("u", "v").distinct(), "edges")
+    # a member has two centres a band at most, but a centre any number of members: its set goes out once for each FAN of them
+    light = lambda df: F.broadcast(df) if small(df, BROADCAST_ROWS) else df  # noqa: E731  a shuffle by bucket would gather the largest one
+    fans = scratch.table(star.groupBy(F.col("c").alias("node")).agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("copies")), "fans")
+    copies = light(fans.filter("copies > 1"))
+    salted = star.withColumnRenamed("c", "node").join(copies, "node", "left").select("m", F.col("node").alias("c"), F.pmod(F.xxhash64("m"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+    a = sets.select(F.col("node").alias("m"), F.col("s").alias("sm"))
+    b = sets.join(light(fans), "node").select(F.col("node").alias("c"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("s").alias("sc"))
+    both = F.size(F.array_intersect("sm", "sc"))
+    similar = both * 100 >= (F.size("sm") + F.size("sc") - both) * threshold
+    found = salted.join(a, "m").join(b, ["c", "copy"]).filter(similar)
+    edges = scratch.table(found.select(F.greatest("m", "c").alias("u"), F.least("m", "c").alias("v")).distinct(), "edges")
     comp = components(edges, scratch, "first")
     # the members that no centre accounts for
-    light = lambda df: F.broadcast(df) if small(df, BROADCAST_ROWS) else df  # noqa: E731  a shuffle by bucket would gather the largest one
     comp = light(comp)
     left = members.filter("many > 2").withColumn("lead", F.col("c1.node")).join(comp, "node", "left")
     left = left.join(comp.select(F.col("node").alias("lead"), F.col("component").alias("group")), "lead", "left")
     left = left.withColumn("component", F.coalesce("component", "node")).withColumn("asks", F.col("component") != F.coalesce("group", "lead"))
     left = left.filter((F.col("node") != F.col("c1.node")) & (F.col("node") != F.col("c2.node")))
-    left = scratch.table(left.select("h", "node", "component", "asks"), "left")
-    sizes = left.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("mb"), F.ceil(F.count_if("asks") / block).cast("int").alias("ub")).filter("ub > 0")
-    left = left.join(light(sizes), "h")
+    left = scratch.table(left.select("h", "node", "component", "asks", F.coalesce("group", "lead").alias("group")), "left")
+    sizes = scratch.table(left.groupBy("h", "group").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("u")).filter("u > 0"), "sizes")
+    left = scratch.table(left.join(light(sizes.select("h")), "h"), "open")
+    # buckets of one group, whose members are mostly the same, are compared as one where that is no more work than one by one
+    merged = scratch.table(left.groupBy("group", "node", "component").agg(F.bool_or("asks").alias("asks")), "merged")
+    whole = merged.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("u"))
+    apart = sizes.groupBy("group").agg(F.sum(F.col("n") * F.col("u")).alias("work"))
+    dense = light(scratch.table(whole.join(apart, "group").filter(F.col("n") * F.col("u") <= F.col("work")).select("group", "n", "u"), "dense"))
+    parts = [F.ceil(F.col(c) / block).cast("int").alias(b) for c, b in (("n", "mb"), ("u", "ub"))]
+    one = merged.join(dense, "group").select(F.col("group").alias("h"), "node", "component", "asks", *parts)
+    each = left.join(dense.select("group"), "group", "left_anti").join(light(sizes.select("h", "n", "u")), "h").select("h", "node", "component", "asks", *parts)
+    rows_ = one.unionAll(each)  # a bucket and a group of one number would only be compared together
     part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    every = F.sequence(F.lit(0), F.col("ub") - 1)
-    others = left.select("h", part(F.col("mb")).alias("mb"), F.explode(every).alias("ub"), F.lit(False).alias("asks"), "node", "component")
-    asking = left.filter("asks").select("h", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mb"), part(F.col("ub")).alias("ub"), F.lit(True).alias("asks"), "node", "component")
+    others = rows_.select("h", part(F.col("mb")).alias("mb"), F.explode(F.sequence(F.lit(0), F.col("ub") - 1)).alias("ub"), F.lit(False).alias("asks"), "node", "component")
+    asking = rows_.filter("asks").select("h", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mb"), part(F.col("ub")).alias("ub"), F.lit(True).alias("asks"), "node", "component")
     grid = others.unionAll(asking).join(sets, "node").select("h", "mb", "ub", "asks", "node", "component", "s")
     more = grid.repartition("h", "mb", "ub").sortWithinPartitions("h", "mb", "ub").mapInArrow(_finisher(threshold), "u long, v long")
     more = scratch.table(more.distinct(), "more")
@@ -226,9 +245,10 @@ def _groups(docs: DataFrame, scratch: Scratch, size: int, threshold: int, block:
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch, size=2)
-    return scratch.keep(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with Scratch(spark, docs) as scratch:
+        found = near_duplicates(docs, scratch, size=2)
+        return scratch.keep(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
 OP10_SQL = r"""
