@@ -1,14 +1,19 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-An item is cut into windows of ten consecutive words (an item of fewer words, but not none, is one window). The words of a window are
-ordered by rarity over all documents. A text that holds a window holds its rarest word, and since all of a window must be there, a prefix
-of that one word is enough: documents are joined with windows on it. Positional and length bounds place the window in the document, and
-all its words are then compared.
-
-Words are the maximal runs of 0-9, a-z and bytes from 0x80 after A-Z are lower-cased; they are compared by 64-bit hashes of their bytes.
-Null and empty texts have no words and hit nothing. Items with a null id or no words take no part; items of equal id are one. The
-windows are broadcast in blocks of bounded size, and a task holds one block at a time, so the benchmark may be of any size. Rows of equal
-doc_id are judged each on its own. An empty table gives an empty result. Extra columns are not read.
+An item is cut into windows of ten consecutive words (an item of fewer words, but not none, is one window). The shingles of a window are
+its pairs of neighbouring words (its word, if it has one), ordered by rarity over all documents. A text that holds a window holds all its
+shingles, so a prefix of one, the rarest, is necessary: documents are joined with windows on it, by an equi join that Spark deals out. The
+place of the shingle in the window and the words around it in the document bound where the window can stand, and the words there are
+compared with the window's, as texts.
+
+Only shingles that may be a window's leave the documents: a bit array of fixed size, the same for any benchmark, tells the most others
+apart. It is all that is broadcast and all that comes to the driver; the benchmark and its windows stay distributed. A full array lets
+more shingles through and changes no result.
+
+Words are the maximal runs of 0-9, a-z and bytes from 0x80 after A-Z are lower-cased. Null and empty texts have no words and hit nothing.
+Items with a null id or no words take no part; items of equal id are one. Very long texts are cut into words a megabyte at a time, or whole
+if one is longer; what leaves a text is bounded by its words. Rows of equal or null doc_id are judged each on its own. An empty table gives
+an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -17,172 +22,186 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import ALNUM, LOWER, U64, chunks, per_row, span_hashes, spans
+from ._bytes import ALNUM, LOWER, U64, chunks, lean, mix, per_row, slices, span_hashes, spans
 from ._spark import Scratch
 
 WINDOW = 10
-#: Words of benchmark text in a block; a window takes about 100 bytes.
-BLOCK_WORDS = 200_000
-#: Candidate pairs that are compared at once.
-PAIRS = 1 << 20
-HITS = "doc_id long, n_words long, n_hit long, item_ids array<string>, runs array<struct<start:int,end:int>>"
+#: Bits by which a shingle is looked up in the broadcast array: 2**26 bits are 8 MB.
+FILTER_BITS = 26
+#: Rows that leave a task at once.
+ROWS = 4096
+ROW = "r long, n_words long, shingle long, place int, before int, context array<string>"
 
 
-def tokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words."""
+def tokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes, and starts, ends and hashes of the words."""
     low = LOWER[buf]
     starts, ends = spans(low, ALNUM)
-    return starts, ends, span_hashes(low, starts, ends)
-
-
-class Windows:
-    """The distinct windows of some items: words, lengths, and the items that hold each."""
-
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
-        column = pa.array([t for _, t in items], pa.string())
-        rows: dict[tuple, set[int]] = {}
-        for i, _, buf, own in chunks(column):
-            starts, _, h = tokens(buf)
-            ends = np.cumsum(per_row(starts, own))
-            for k, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
-                for s in range(a, max(b - size, a) + 1 if b > a else a):
-                    rows.setdefault(tuple(h[s : min(s + size, b)].tolist()), set()).add(i + k)
-        self.ids = [x for x, _ in items]
-        self.items = [sorted(x) for x in rows.values()]
-        self.length = np.array([len(x) for x in rows], np.int64)
-        self.words = np.zeros((len(rows), size), U64)
-        for k, x in enumerate(rows):
-            self.words[k, : len(x)] = x
-        self.vocabulary = np.unique(self.words[np.arange(size)[None, :] < self.length[:, None]])
-
-    def order(self, counts: np.ndarray) -> None:
-        """Choose each window's rarest word, ties by hash, given the corpus counts of the vocabulary."""
-        size = self.words.shape[1]
-        at = np.searchsorted(self.vocabulary, self.words).clip(max=max(len(self.vocabulary) - 1, 0))
-        rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable")[at]
-        rank[np.arange(size)[None, :] >= self.length[:, None]] = len(self.vocabulary)
-        offset = rank.argmin(1)
-        prefix = self.words[np.arange(len(self.words)), offset] if len(self.words) else np.zeros(0, U64)
-        by = np.argsort(prefix, kind="stable")
-        self.prefix, first, self.many = np.unique(prefix[by], return_index=True, return_counts=True)
-        self.first, self.window, self.offset = first, by, offset[by]
-
-    def match(self, h: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, window) of each occurrence. h: word hashes; row: the row of each word; start, end: the words of each row."""
-        none = np.zeros(0, np.int64)
-        if not len(self.prefix) or not len(h):
-            return none, none
-        k = np.searchsorted(self.prefix, h).clip(max=len(self.prefix) - 1)
-        at = np.flatnonzero(self.prefix[k] == h)
-        k = k[at]
-        found = []
-        upto = np.cumsum(self.many[k])
-        i = 0
-        while i < len(at):
-            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS, "right")))
-            n = self.many[k[i:j]]
-            e = np.repeat(self.first[k[i:j]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            p, w = np.repeat(at[i:j], n), self.window[e]
-            s = p - self.offset[e]
-            ok = (s >= start[row[p]]) & (s + self.length[w] <= end[row[p]])
-            s, w = s[ok], w[ok]
-            for x in range(self.words.shape[1]):
-                inside = x < self.length[w]
-                ok = ~inside | (h[np.minimum(s + x, len(h) - 1)] == self.words[w, x])
-                s, w = s[ok], w[ok]
-            found.append((s, w))
-            i = j
-        return (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])) if found else (none, none)
-
-
-def _counter(blocks):
+    return low, starts, ends, span_hashes(low, starts, ends)
+
+
+def pair_hashes(h: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next."""
+    return mix(h[:-1] * U64(0xD1B54A32D192ED03) + h[1:])
+
+
+def single_hashes(h: np.ndarray) -> np.ndarray:
+    return mix(h ^ U64(0x243F6A8885A308D3))
+
+
+def _words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> list[str]:
+    """The words from the a-th up to the b-th."""
+    return [low[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+
+
+def _windows(size: int):
+    @lean
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for i, j, buf, own in chunks(b.column(1)):
+                low, starts, ends, h = tokens(buf)
+                last = np.cumsum(per_row(starts, own)).tolist()
+                pairs, single = pair_hashes(h).view(np.int64), single_hashes(h).view(np.int64)
+                for item, lo, hi in zip(b.column(0).slice(i, j - i).to_pylist(), [0, *last[:-1]], last, strict=True):
+                    words, out = _words(low, starts, ends, lo, hi), []
+                    for k in range(max(len(words) - size + 1, min(len(words), 1))):
+                        n = min(size, len(words))
+                        out.append((item, n, words[k : k + n], (pairs[lo + k : lo + k + n - 1] if n > 1 else single[lo + k : lo + k + 1]).tolist()))
+                    for x in range(0, len(out), ROWS):
+                        part = list(zip(*out[x : x + ROWS], strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], ["item", "n", "words", "shingles"])
+
+    return windows
+
+
+def bit_array(shingles: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits of which those of the shingles (a column `shingle`) are set, as 64-bit words."""
+    words = shingles.select(F.shiftright("shingle", 6).bitwiseAND((1 << (bits - 6)) - 1).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shingle & 63 as int))").alias("x"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for w, x in words.groupBy("w").agg(F.bit_or("x").alias("x")).toLocalIterator():  # no more rows than the array has words
+        out[w] = x
+    return out.view(U64)
+
+
+def held(array: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (array[((h >> U64(6)) & U64(len(array) - 1)).astype(np.int64)] >> (h & U64(63)) & U64(1)).astype(bool)
+
+
+def _candidates(h: np.ndarray, many: np.ndarray, arrays: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes) of the shingles that the arrays for pairs and for single words hold. many: the words of each row."""
+    if not len(h):
+        return []
+    out = []
+    pairs = pair_hashes(h)
+    inside = np.ones(len(h), bool)
+    inside[np.cumsum(many)[many > 0] - 1] = False  # the last word of a row has no next
+    at = np.flatnonzero(inside[:-1] & held(arrays[0], pairs))
+    out.append((at, pairs[at]))
+    if arrays[1].any():
+        single = single_hashes(h)
+        at = np.flatnonzero(held(arrays[1], single))
+        out.append((at, single[at]))
+    return out
+
+
+def _counter(arrays):
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(len(b.value), np.int64) for b in blocks]
         for batch in batches:
-            for _, _, buf, _ in chunks(batch.column(0)):
-                h = tokens(buf)[2]
-                for b, t in zip(blocks, total, strict=True):
-                    v = b.value
-                    if len(v):
-                        k = np.searchsorted(v, h).clip(max=len(v) - 1)
-                        t += np.bincount(k[v[k] == h], minlength=len(v))
-        for i, t in enumerate(total):
-            k = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i)), pa.array(k), pa.array(t[k])], ["block", "word", "n"])
+            for _, _, buf, own in chunks(batch.column(0)):
+                _, starts, _, h = tokens(buf)
+                for _, x in _candidates(h, per_row(starts, own), arrays.value):
+                    value, n = np.unique(x, return_counts=True)
+                    if len(value):
+                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
     return count
 
 
-def _matcher(blocks):
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seeker(arrays, size: int, kept: list[str]):
+    names = ["r", "n_words", "shingle", "place", "before", "context"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+
+    @lean
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, without a shingle, and one for each shingle that may be a window's prefix, with the words around it."""
         for batch in batches:
-            n = batch.num_rows
-            words, hit, runs, items = np.zeros(n, np.int64), np.zeros(n, np.int64), [[]] * n, [[]] * n
+            n, words = batch.num_rows, np.zeros(batch.num_rows, np.int64)
+            keys = batch.column(0).to_pylist()
             for lo, hi, buf, own in chunks(batch.column(1)):
-                starts, _, h = tokens(buf)
+                low, starts, ends, h = tokens(buf)
                 many = per_row(starts, own)
                 words[lo:hi] = many
-                end = np.cumsum(many)
-                start, row = end - many, np.repeat(np.arange(hi - lo), many)
-                edge = np.zeros(len(h) + 1, np.int64)
-                got: dict[int, set[str]] = {}
-                for b in blocks:
-                    x = b.value
-                    s, w = x.match(h, row, start, end)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + x.length[w], -1)
-                    for r, k in set(zip(row[s].tolist(), w.tolist(), strict=True)):
-                        got.setdefault(r, set()).update(x.ids[i] for i in x.items[k])
-                    if len(blocks) > 1:
-                        del b._value  # the next block takes its place; value reads it anew
-                inside = edge[:-1].cumsum() > 0
-                if inside.any():
-                    sums = np.concatenate(([0], inside.cumsum()))
-                    hit[lo:hi] = sums[end] - sums[start]
-                    for r, ids in got.items():
-                        items[lo + r] = sorted(ids)
-                        d = np.flatnonzero(np.diff(np.concatenate(([0], inside[start[r] : end[r]].view(np.int8), [0]))))
-                        runs[lo + r] = [{"start": a, "end": b} for a, b in zip(d[0::2].tolist(), d[1::2].tolist(), strict=True)]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(words), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(runs, kind), *batch.columns[2:]], ["doc_id", "n_words", "n_hit", "item_ids", "runs", *batch.schema.names[2:]])
-
-    return match
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, size: int = WINDOW, block_words: int = BLOCK_WORDS, keep=()) -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, n_hit, item_ids (those with occurring windows) and runs of hit words.
+                last = np.cumsum(many)
+                for at, x in _candidates(h, many, arrays.value):
+                    row = np.searchsorted(last, at, "right")
+                    for k in range(0, len(at), ROWS):
+                        out = []
+                        for p, r, s in zip(at[k : k + ROWS].tolist(), row[k : k + ROWS].tolist(), x[k : k + ROWS].view(np.int64).tolist(), strict=True):
+                            first, end = int(last[r] - many[r]), int(last[r])
+                            a = max(first, p - size + 1)
+                            out.append((keys[lo + r], None, s, p - first, p - a, _words(low, starts, ends, a, min(end, p + size))))
+                        none = [pa.nulls(len(out), c.type) for c in batch.columns[2:]]
+                        yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], *none], [*names, *kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), *[pa.nulls(n, t) for t in kinds[2:]], *batch.columns[2:]], [*names, *kept])
+
+    return seek
+
+
+def prefixes(windows: DataFrame, docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
+    """n, words, shingle and its place of each distinct window of which some document holds the rarest shingle; ties by hash, then place."""
+    spark = windows.sparkSession
+    distinct = scratch.table(windows.select("n", "words", "shingles").distinct(), "distinct")
+    of = distinct.select("n", "words", F.posexplode("shingles").alias("place", "shingle"))
+    arrays = spark.sparkContext.broadcast(tuple(bit_array(of.filter(c).select("shingle"), bits) for c in ("n > 1", "n = 1")))
+    counts = scratch.table(docs.select("text").mapInArrow(_counter(arrays), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("count")), "counts")
+    ranked = of.join(counts, "shingle", "left")
+    first = ranked.groupBy("n", "words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "place")).alias("p"))
+    return scratch.table(first.filter("p.count > 0").select("n", "words", "p.shingle", F.col("p.place").alias("offset")), "prefixes")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, size: int = WINDOW, bits: int = FILTER_BITS, keep=()) -> DataFrame:
+    """A row for each row of docs: doc_id, n_words, n_hit, item_ids (those with occurring windows, sorted) and runs of hit words.
 
     keep: columns of docs that are carried along.
     """
     spark = docs.sparkSession
-    blocks, items, words = [], [], 0
-    for x in benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        items.append((x[0], x[1]))
-        words += len(x[1].split()) + 1
-        if words >= block_words:
-            blocks.append(Windows(items, size))
-            items, words = [], 0
-    if items or not blocks:
-        blocks.append(Windows(items, size))
-    shared = [spark.sparkContext.broadcast(b.vocabulary) for b in blocks]
-    counts = docs.select("text").mapInArrow(_counter(shared), "block long, word long, n long").groupBy("block", "word").agg(F.sum("n").alias("n"))
-    total = [np.zeros(len(b.vocabulary), np.int64) for b in blocks]
-    for b, w, n in counts.toLocalIterator():  # no more than the words of the benchmark
-        total[b][w] = n
-    for b, t in zip(blocks, total, strict=True):
-        b.order(t)
-    kept = "".join(f", {k} {t}" for k, t in docs.select(*keep).dtypes)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(_matcher([spark.sparkContext.broadcast(b) for b in blocks]), HITS + kept)
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    windows = scratch.table(items.mapInArrow(_windows(size), "item string, n int, words array<string>, shingles array<long>"), "windows")
+    prefix = prefixes(windows, docs, scratch, bits)
+    arrays = spark.sparkContext.broadcast(tuple(bit_array(prefix.filter(c).select("shingle"), bits) for c in ("n > 1", "n = 1")))
+    # a row is numbered in the one pass that writes both the row and what is found in it
+    rows = docs.select(F.monotonically_increasing_id().alias("r"), "text", F.col("doc_id").cast("long").alias("k0"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keep, 1)])
+    kept = rows.columns[2:]
+    found = scratch.table(rows.mapInArrow(_seeker(arrays, size, kept), ", ".join([ROW, *(f"{k} {t}" for k, t in rows.select(*kept).dtypes)])), "found")
+    at = found.filter("shingle is not null").select("r", "shingle", "place", "before", "context").join(prefix, "shingle").filter("before >= offset")
+    whole = F.slice("context", F.greatest(F.col("before") - F.col("offset"), F.lit(0)) + 1, F.col("n")) == F.col("words")
+    hits = scratch.table(at.filter(whole).select("r", (F.col("place") - F.col("offset")).alias("start"), "n", "words"), "hits")
+    spans_ = hits.select("r", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    order = Window.partitionBy("r").orderBy("start", "end")  # no more rows than the document has words
+    apart = F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans_.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("r", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = runs.groupBy("r").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    of = hits.select("r", "n", "words").distinct().join(windows.select("item", "n", "words").distinct(), ["n", "words"])
+    of = of.select("r", "item").distinct().groupBy("r").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
+    out = found.filter("shingle is null").join(runs.join(of, "r"), "r", "left")
+    none = F.array().cast("array<string>"), F.array().cast("array<struct<start:int,end:int>>")
+    return out.select(
+        F.col("k0").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none[0]).alias("item_ids"),
+        F.coalesce("runs", none[1]).alias("runs"), *[F.col(f"k{i}").alias(k) for i, k in enumerate(keep, 1)],
+    )
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    out = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch)
-    joined = F.array_join("item_ids", ",")
-    return scratch.keep(out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with Scratch(spark, docs) as scratch:
+        out = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch)
+        joined = F.array_join("item_ids", ",")
+        return scratch.keep(out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")))
 
 
 OP6_SQL = r"""
