@@ -6,9 +6,10 @@ stream once, in pieces, and rewrites each record as its own member. Members go o
 (its size is under 16 MiB, or an empty member follows it), and that byte is the line separator.
 
 A null html is an empty payload; a null url is written as urn:page:<page_id>; control characters in a url are percent-encoded. Rows of
-the smallest page_id of a payload are all its response. A null page_id is a revisit where its payload has a response, else a response.
-Files hold at most `records_per_file` records, which bounds what the normaliser reads at once. An empty table gives an empty result.
-Extra columns are not read.
+the smallest page_id of a payload are all its response. A null or repeated page_id is a revisit where its payload has a response of
+another page, else a response. Records of like size share files, as many as `file_bytes` hold, which bounds what the normaliser reads at
+once; a very long payload has a file of its own. Normalised archives are renamed to *.warc.gz. An empty table gives an empty result. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from ._spark import Scratch, small
 
 #: Payloads under so many bytes are always written whole.
 LEAST_REVISIT = 100
-RECORDS_PER_FILE = 5_000
-#: Up to so many revisits are broadcast to the pages (16 bytes each); beyond, both are shuffled.
-BROADCAST_REVISITS = 1_000_000
+#: Bytes of payload in a file, and the sizes up to which payloads share files with others like them.
+FILE_BYTES = 64 << 20
+SIZES = (16 << 10, 256 << 10, 4 << 20)
+#: Up to so many revisits are broadcast to the pages (48 bytes each); beyond, both are shuffled.
+BROADCAST_REVISITS = 200_000
 PIECE = 1 << 20
 INDEX = "path string, offset long, length long, record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to long"
 
@@ -39,18 +42,19 @@ def _urn(page: Column) -> Column:
 
 
 def plan_revisits(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """pages with url, body, payload_bytes, payload_digest and refers_to, which is null for responses."""
+    """pages with url, body, payload_bytes, payload_digest, refers_to (null for responses) and written, the bytes of body that are written."""
     body = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("body"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body.cast("binary"), 256).alias("payload_digest"))
-    keys = scratch.table(rows.filter(F.col("payload_bytes") >= LEAST_REVISIT).select("page_id", "payload_digest"), "keys")
+    keys = scratch.table(rows.filter(F.col("payload_bytes") >= LEAST_REVISIT).select("page_id", F.unhex("payload_digest").alias("payload_digest"), "payload_bytes"), "keys")
     first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n")
     later = scratch.table(keys.join(first, "payload_digest").filter("page_id is null or page_id > first").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), F.col("first").alias("refers_to")).distinct(), "later")
     later = F.broadcast(later) if small(later, BROADCAST_REVISITS) else later
-    return rows.join(later, rows["page_id"].eqNullSafe(F.col("p")) & (rows["payload_digest"] == F.col("d")), "left").drop("p", "d")
+    out = rows.join(later, rows["page_id"].eqNullSafe(F.col("p")) & (F.unhex(rows["payload_digest"]) == F.col("d")), "left").drop("p", "d")
+    return out.withColumn("written", F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0))
 
 
 def record_text(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """A WARC record, without the blank lines that end it, for each row of plan_revisits()."""
+    """A WARC record (value), without the blank lines that end it, for each row of plan_revisits(), and its `written`."""
     revisit = F.col("refers_to").isNotNull()
     page = F.col("page_id").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -73,13 +77,19 @@ def record_text(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFra
             F.lit("\r\n"),
             http,
             F.when(revisit, none).otherwise(F.col("body")),
-        ).alias("value")
+        ).alias("value"),
+        "written",
     )
 
 
-def write_monolithic(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Archives of one gzip stream each."""
-    records.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+def write_monolithic(records: DataFrame, path: str, largest: int, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of one gzip stream each. largest: that of `written`, or more."""
+    low = -1
+    for high in (*SIZES, None):
+        some = records.filter((F.col("written") > low) & (F.lit(True) if high is None else F.col("written") <= high))
+        if low < largest:
+            some.select("value").write.mode("append").option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, file_bytes // high) if high else 1).text(path)
+        low = high
 
 
 def inflate(content: memoryview) -> Iterator[bytes]:
@@ -145,9 +155,15 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def normalise(spark, source: str, path: str) -> None:
-    """Rewrite the archives in source, each record as its own member."""
+    """Rewrite the archives in source, each record as its own member; the archives are named by number."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("content")
     files.mapInArrow(_normalise, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(name for x in system.listStatus(folder) if (name := x.getPath().getName()).startswith("part-"))
+    for k, name in enumerate(parts):  # a file operation for each archive
+        system.rename(jvm.org.apache.hadoop.fs.Path(folder, name), jvm.org.apache.hadoop.fs.Path(folder, f"{k:08d}.warc.gz"))
 
 
 def members(content: memoryview) -> Iterator[tuple[int, int, bytes]]:
@@ -193,7 +209,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def offset_index(spark, path: str) -> DataFrame:
     """Reads normalised archives back: file, offset and length of each record, with its type, page and payload."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(_index, INDEX)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "content").mapInArrow(_index, INDEX)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,23 +225,26 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fetch(spark, path: str, index: DataFrame) -> DataFrame:
     """page_id and payload of the records in the index rows: only their members are inflated."""
     wanted = index.groupBy("path").agg(F.collect_list(F.struct("offset", "length")).alias("at"))  # no more than the records of a file
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
     return files.join(wanted, "path").select("content", "at").mapInArrow(_fetch, "page_id long, payload binary")
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, records_per_file: int = RECORDS_PER_FILE) -> tuple[str, DataFrame]:
-    """Writes, normalises and indexes pages: the folder of the normalised archives, and the sidecar index."""
+def write_archives(pages: DataFrame, scratch: Scratch, file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
+    """Writes, normalises and indexes pages: the folder of the normalised archives, and the sidecar index. Both are the scratch folder's."""
     whole, path = f"{scratch.path}/monolithic", f"{scratch.path}/archives"
-    write_monolithic(record_text(plan_revisits(pages, scratch)), whole, records_per_file)
+    records = record_text(plan_revisits(pages, scratch))
+    largest = pages.sparkSession.read.parquet(f"{scratch.path}/keys").agg(F.max("payload_bytes")).head()[0] or 0
+    write_monolithic(records, whole, largest, file_bytes)
     normalise(pages.sparkSession, whole, path)
     scratch.drop("monolithic")
     return path, scratch.table(offset_index(pages.sparkSession, path), "sidecar")
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    _, index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), scratch)
-    return scratch.keep(index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    with Scratch(spark, pages) as scratch:
+        _, index = write_archives(pages.select("page_id", "url", "html"), scratch)
+        return scratch.keep(index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 OP3_SQL = """
