@@ -2,11 +2,13 @@
 
 A turn's content is a text or a list of parts: text, image, audio or document. A visitor flattens the parts, in order, into one text in
 which each attachment is a placeholder, and records for each attachment its reference, its place and the tokens it will expand to. The
-template marks turns; control strings inside texts and roles are escaped so that reading back gives exactly what went in.
+template marks turns; control strings inside texts and roles are escaped so that reading back gives exactly what went in. A loss mask goes
+with each formatted turn: the spans, in code points, on which a model is trained, which are the contents of assistant turns.
 
 Null texts, parts and roles are empty. Rows of equal conversation and turn are ordered by role, then content. A null conversation id is
 a conversation of its own; a null turn comes first. Rows are streamed in order, so that a conversation of any length needs constant
-memory. Extra columns are not read. An empty table gives an empty result.
+memory; a digest of a conversation is made by one task, whatever its length. A very long text is formatted whole, with few others at a
+time. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import slices
 from ._spark import Scratch
 
 START, END = "<|im_start|>", "<|im_end|>"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
-FORMATTED = f"conv_id long, turn long, n int, role string, formatted string, attachments array<struct<kind:string,ref:string,position:int,tokens:long>>, expanded_tokens long"
+FORMATTED = f"conv_id long, turn long, n int, role string, formatted string, attachments array<struct<kind:string,ref:string,position:int,tokens:long>>, expanded_tokens long, loss array<struct<start:int,end:int>>"
+#: The role whose contents are trained on.
+TRAINED = "assistant"
 #: Token rules of the attachments: image tiles of so many pixels a side and tokens a tile, tokens a second of audio, tokens a document page.
 TILE, TILE_TOKENS, AUDIO_TOKENS, PAGE_TOKENS = 512, 170, 25.0, 800
 
@@ -83,16 +88,19 @@ class Flattener:
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    kind = pa.struct([("kind", pa.string()), ("ref", pa.string()), ("position", pa.int32()), ("tokens", pa.int64())])
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    names = [("conv_id", pa.int64()), ("turn", pa.int64()), ("n", pa.int32()), ("role", pa.string()), ("formatted", pa.string()), ("attachments", pa.list_(kind)), ("expanded_tokens", pa.int64()), ("loss", pa.list_(span))]
+    for b in slices(batches):
         out = []
         for conv, turn, n, role, content in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
             v = Flattener()
             for part in content or ():
                 v.visit(part)
-            text = "".join(v.out)
-            out.append({"conv_id": conv, "turn": turn, "n": n, "role": role, "formatted": f"{START}{escape_role(role or '')}\n{text}{END}\n", "attachments": v.attachments, "expanded_tokens": sum(a["tokens"] for a in v.attachments)})
-        kind = pa.struct([("kind", pa.string()), ("ref", pa.string()), ("position", pa.int32()), ("tokens", pa.int64())])
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("n", pa.int32()), ("role", pa.string()), ("formatted", pa.string()), ("attachments", pa.list_(kind)), ("expanded_tokens", pa.int64())]))
+            head, text = f"{START}{escape_role(role or '')}\n", "".join(v.out)
+            loss = [{"start": len(head), "end": len(head) + len(text)}] if role == TRAINED and text else []
+            out.append({"conv_id": conv, "turn": turn, "n": n, "role": role, "formatted": f"{head}{text}{END}\n", "attachments": v.attachments, "expanded_tokens": sum(a["tokens"] for a in v.attachments), "loss": loss})
+        yield pa.RecordBatch.from_pylist(out, pa.schema(names))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -123,8 +131,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if state:
             out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
-    for b in batches:
-        for conv, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+    for b in slices(batches):
+        for conv, piece, loss in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if state is None or conv != now:
                 done()
                 now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -132,9 +140,10 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode())
             state[4] += len(piece)
-            if role == "assistant":
-                state[2] += len(text)
-                state[3].update(text.encode())
+            for span in loss:
+                said = unescape(piece[span["start"] : span["end"]])
+                state[2] += len(said)
+                state[3].update(said.encode())
         if len(out) > 5000:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
             out.clear()
@@ -144,17 +153,17 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """A row for each conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted pieces alone."""
+    """A row for each conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the pieces and their loss masks."""
     order = formatted.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "n", "formatted")
-    return order.select("conv_id", "formatted").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return order.select("conv_id", "formatted", "loss").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
-    scratch = Scratch(spark)
-    return scratch.keep(read_back(scratch.table(format_turns(turns), "formatted")))
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    with Scratch(spark, table) as scratch:
+        return scratch.keep(read_back(scratch.table(format_turns(table.select("conv_id", "turn", "role", "text").unionByName(own)), "formatted")))
 
 
 OP5_SQL = r"""

@@ -78,8 +78,16 @@ def test_sketches_estimate_similarity():
     assert (x == y).sum() >= 4
 
 
-def test_windows_of_an_empty_benchmark():
-    w = decontaminate.Windows([])
-    w.order(np.zeros(0, np.int64))
-    s, k = w.match(np.arange(5, dtype=np.uint64), np.zeros(5, np.int64), np.array([0]), np.array([5]))
-    assert len(s) == len(k) == 0
+def test_candidates_of_an_empty_benchmark():
+    none = np.zeros(4, np.uint64)
+    assert sum(len(at) for at, _ in decontaminate._candidates(np.arange(5, dtype=np.uint64), np.array([2, 0, 3]), (none, none))) == 0
+
+
+@given(st.lists(st.integers(0, 5), max_size=6))
+def test_shingles_stay_inside_their_rows(many):
+    h = np.arange(sum(many), dtype=np.uint64)
+    full = np.full(4, 2**64 - 1, np.uint64)
+    got = decontaminate._candidates(h, np.array(many, np.int64), (full, full))
+    starts = np.cumsum([0, *many])
+    want = [p for k, n in enumerate(many) for p in range(starts[k], starts[k] + n - 1)]
+    assert (got[0][0].tolist(), got[1][0].tolist()) == (want, list(range(sum(many)))) if len(h) else got == []

@@ -38,6 +38,29 @@ ODD = [None, "", " \n\t", "x", "ab cd", "é" * 300, "\x00\x01 \x7f", LONG, LONG,
 # bytes
 
 
+def twist(k):
+    """A string of 2**k letters that collides with the one of swapped letters under every polynomial hash of 64 bits, from k = 10 on."""
+    t = "a"
+    for _ in range(k):
+        t += t.translate({97: 98, 98: 97})
+    return t
+
+
+def test_hashes_of_long_words_do_not_collide_by_construction():
+    for k in (3, 8, 10, 12):
+        a, b = (x.encode() for x in (twist(k), twist(k).translate({97: 98, 98: 97})))
+        buf = np.frombuffer(a + b" " + b + b" " + a, np.uint8)
+        h = B.span_hashes(buf, *B.spans(buf, B.NOT_SPACE))
+        assert h[0] == h[2] != h[1]
+    text = np.frombuffer(random.Random(3).randbytes(2000), np.uint8)
+    starts = np.arange(0, 1400)
+    for size in (1, 7, 8, 9, 64, 511, 512, 513, 600):
+        h = B.span_hashes(text, starts, starts + size)
+        seen = {}
+        for s, x in zip(starts.tolist(), h.tolist(), strict=True):
+            assert seen.setdefault(x, text[s : s + size].tobytes()) == text[s : s + size].tobytes()
+
+
 def test_words_and_hashes():
     import pyarrow as pa
 
@@ -190,7 +213,7 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(k, f"http://h/{k}\r\nX: y" if k != 4 else None, h, "extra") for k, h in enumerate(html)] + [(None, "u", "<a>" * 60, ""), (0, "again", "<a>" * 60, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string")
     scratch = Scratch(spark)
-    path, index = warc.write_archives(pages.drop("payload_digest"), scratch, records_per_file=4)
+    path, index = warc.write_archives(pages.drop("payload_digest"), scratch, file_bytes=4 << 14)  # four small records, or one larger
     found = sorted(((r["page_id"] is None, r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in index.collect()))
     assert len(found) == len(rows)
     assert {r["page_id"]: r["payload_digest"] for r in index.collect() if r["page_id"] is not None} == {k: hashlib.sha256((h or "").encode()).hexdigest() for k, h in enumerate(html)}
@@ -199,6 +222,8 @@ def test_warc_round_trip(spark, tmp_path):
     assert (4, "response", None) in kinds and (5, "response", None) in kinds
     got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.fetch(spark, path, index.filter("record_type = 'response'")).collect()}
     assert got == {k: h or "" for k, h in enumerate(html) if k not in (1, 8)}
+    names = {r["path"].rsplit("/", 1)[-1] for r in index.collect()}
+    assert len(names) >= 3 and all(n.endswith(".warc.gz") for n in names)
     scratch.drop()
 
 
@@ -246,6 +271,9 @@ def test_chat_parts(spark):
     assert a["formatted"] == "<|im_start|>user\nsee <\\|image_1|> <|image_1|><|audio_2|><|document_3|><|im_end|>\n"
     assert [(x["kind"], x["ref"], x["tokens"]) for x in a["attachments"]] == [("image", "i.png", 340), ("audio", "a.wav", 63), ("document", "", 2400)] and a["expanded_tokens"] == 2803
     assert b["formatted"] == "<|im_start|>assistant\n<|im_end|>\n"
+    assert a["loss"] == b["loss"] == []
+    c = chat_format.format_turns(spark.createDataFrame([(1, 0, "assistant", [part("text", text="é<|x"), part("image", ref="i")])], f"conv_id long, turn long, role string, content array<{chat_format.PART}>")).head()
+    assert [c["formatted"][x["start"] : x["end"]] for x in c["loss"]] == ["é<\\|x<|image_1|>"]
     for text in ("<|", "<\\|", "a<\\\\|b", "<<||", LONG):
         assert chat_format.unescape(chat_format.escape(text)) == text and "<|" not in chat_format.escape(text)
 
@@ -257,15 +285,15 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("block", [3, 10**6])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("bits", [6, decontaminate.FILTER_BITS])
+def test_decontamination(spark, bits):
     rng = random.Random(7)
     vocab = [f"w{k}" for k in range(25)]
     say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     items = [(k, say(rng.randint(0, 25))) for k in range(12)] + [(3, "zz yy"), (50, None), (None, "w1 w2"), (51, "Solo"), (52, "é ü"), (53, "w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1")]
     texts = [say(rng.randint(0, 60)) for _ in range(60)] + [f"{say(4)}, {t.upper()} - {say(3)}" for _, t in items[:12]] + ["w1 " * 40, "x SOLO y", "É Ü é ü", *ODD]
     d, b = docs(spark, [*texts, texts[60]], [*range(len(texts)), 60]), spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.find_contamination(d, b, Scratch(spark), block_words=block).collect()
+    out = decontaminate.find_contamination(d, b, Scratch(spark), bits=bits).collect()
     assert len(out) == len(texts) + 1
     for r in out:
         w, hit, ids = words(texts[r["doc_id"]]), set(), set()
@@ -284,6 +312,31 @@ def test_decontamination(spark, block):
     assert decontaminate.find_contamination(d, b.limit(0), Scratch(spark)).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_by_a_large_benchmark(spark):
+    """Thousands of windows that share their words, most of them in no document; words of equal polynomial hashes are told apart."""
+    rng = random.Random(17)
+    vocab = [f"v{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(30))) for k in range(800)]
+    even = twist(11)
+    items.append((900, even))
+    texts = [" ".join([*rng.choices(vocab, k=8), *items[k][1].split()[5:18], "end"]) for k in range(0, 800, 40)] + [" ".join(rng.choices(vocab, k=3000)), even.translate({97: 98, 98: 97}), even]
+    out = {r["doc_id"]: r for r in decontaminate.find_contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark)).collect()}
+    where = {}
+    for i, t in items:
+        v = t.split()
+        for k in range(max(len(v) - 9, 1)):
+            where.setdefault(tuple(v[k : k + 10]), set()).add(str(i))
+    for d, t in enumerate(texts):
+        w, hit, ids = t.split(), set(), set()
+        for n in (10, 1):
+            for k in range(len(w) - n + 1):
+                if (found := where.get(tuple(w[k : k + n]))) and (n == 10 or len(w) < 10):
+                    hit |= set(range(k, k + n))
+                    ids |= found
+        assert (out[d]["n_hit"], out[d]["item_ids"]) == (len(hit), sorted(ids)), d
+    assert out[len(texts) - 2]["n_hit"] == 0 and out[len(texts) - 1]["n_hit"] == 1
+
+
 # 7
 
 
@@ -302,8 +355,8 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_repeated_passages(spark, hot):
+@pytest.mark.parametrize(("hot", "crowd"), [(4096, 4096), (2, 4096), (4096, 1), (2, 3)])
+def test_repeated_passages(spark, hot, crowd):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcd é") for _ in range(rng.randint(150, 600))) for _ in range(6)]
     texts = []
@@ -316,7 +369,7 @@ def test_repeated_passages(spark, hot):
     d = docs(spark, [*texts, texts[5]], [*range(len(texts)), 5])
     scratch = Scratch(spark)
     t, base_rows = suffix_dedup.with_keys(d, scratch)
-    spans = suffix_dedup.find_spans(t, scratch, shard=4000, hot=hot)
+    spans = suffix_dedup.find_spans(t, scratch, shard=4000, hot=hot, crowd=crowd)
     out = suffix_dedup.digests(t, base_rows, spans, scratch).collect()
     assert len(out) == len(texts) + 1
     want = removed(list(enumerate(texts)), 100)
@@ -371,18 +424,35 @@ def test_run_length_index():
     rng = random.Random(9)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(40)] + [b"\xff" * 12, b"", b"\x00\x00"]
     x = suffix_dedup.RunLengthIndex(strings)
-    text = b"".join(s + b"$" for s in strings)
     suffixes = [(strings[k][p:], k) for k in range(len(strings)) for p in range(len(strings[k]) + 1)]
     place = {(k, p): int(x.offsets[k]) + p for k in range(len(strings)) for p in range(len(strings[k]) + 1)}
     order = sorted(range(len(suffixes)), key=lambda i: ([*suffixes[i][0]], suffixes[i][1]))
     at = [place[suffixes[i][1], len(strings[suffixes[i][1]]) - len(suffixes[i][0])] for i in order]
-    assert x.suffixes.tolist() == at and len(text) == len(at)
     common = lambda a, b: next((k for k, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
-    before, after = x.statistics()
+    above, before, below, after = x.statistics()
     for r, i in enumerate(order):
         assert before[at[r]] == (common(suffixes[order[r - 1]][0], suffixes[i][0]) if r else 0)
         assert after[at[r]] == (common(suffixes[order[r + 1]][0], suffixes[i][0]) if r + 1 < len(order) else 0)
-    assert len(x.heads[0]) < len(at)
+        assert not before[at[r]] or above[at[r]] == at[r - 1]
+        assert not after[at[r]] or below[at[r]] == at[r + 1]
+    # the transform, run by run
+    bwt = [0 if len(strings[suffixes[i][1]]) == len(suffixes[i][0]) else strings[suffixes[i][1]][-len(suffixes[i][0]) - 1] + 1 for i in order]
+    heads = dict(zip(x.heads[1].tolist(), x.heads[0].tolist(), strict=True))
+    now = None
+    for r, symbol in enumerate(bwt):
+        now = heads.get(r, now)
+        assert now == symbol
+    assert len(heads) == 1 + sum(a != b or b == 0 for a, b in itertools.pairwise(bwt))
+
+
+def test_index_of_copies_is_as_large_as_its_runs():
+    rng = random.Random(10)
+    one = bytes(rng.choice(b"abcd") for _ in range(2000))
+    few, many = suffix_dedup.RunLengthIndex([one] * 2), suffix_dedup.RunLengthIndex([one] * 60)
+    kept = lambda x: sum(a.nbytes for a in (*x.heads, *x.first, *x.last))
+    assert kept(many) < 1.2 * kept(few) + 60 * 200 and kept(many) < 60 * len(one) * 8 / 2
+    assert not hasattr(many, "suffixes")
+    assert many.repeats(100).tolist() == [int(many.offsets[k]) + p for k in range(1, 60) for p in range(len(one) - 99)]
 
 
 # 8
@@ -416,6 +486,34 @@ def test_nearest_of_few(spark):
     assert vectors.build(df.limit(0), scratch, vector="vector") is None
 
 
+def test_nearest_among_vectors_of_two_dimensions(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    rows = [(k, [float(x) for x in rng.normal(size=8 if k % 3 else 70)]) for k in range(600)]
+    d = saved(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    out = vectors.op8_nearest(spark, d).collect()
+    assert len(out) == 60
+    for q in range(0, 600, 100):
+        a = np.array(rows[q][1], np.float32).astype(float)
+        want = sorted((float(np.linalg.norm(a - np.array(x, np.float32))), k) for k, x in rows if k != q and len(x) == len(a))[:10]
+        got = sorted((r["rank"], r["vec_id"]) for r in out if r["query_id"] == q)
+        assert len({k for _, k in got} & {k for _, k in want}) >= 9
+
+
+def test_estimates_are_bounded():
+    rng = np.random.default_rng(13)
+    for dim in (20, 64, 130):
+        x = rng.normal(size=(500, dim)).astype(np.float32) + 0.3
+        mean = x.astype(float).mean(0)
+        c = x.astype(float) - mean
+        length = np.sqrt((c * c).sum(1))
+        unit = (c / length[:, None]) @ vectors.rotation(dim)
+        asked = vectors.Asked(np.arange(40), x[:40], mean)
+        middle, slack = asked.bounds(vectors.packed(unit >= 0), length, np.abs(unit).sum(1) / np.sqrt(dim), 3.0)
+        true = ((x[:40, None, :].astype(float) - x[None, :, :]) ** 2).sum(2)
+        off = np.abs(middle - true)
+        assert np.mean(off <= slack) > 0.99 and abs(float((middle - true)[:, 40:].mean())) < 0.02 * true.mean()
+
+
 # 10
 
 
@@ -459,6 +557,15 @@ def test_near_duplicates(spark, size):
     assert [(out[k]["n_shingles"], out[k]["component_id"]) for k in range(len(texts))] == [(len(s[k]), find(k)) for k in range(len(texts))]
 
 
+def test_near_duplicates_of_centres_with_many_members(spark, monkeypatch):
+    """The set of a centre goes out in copies, and the exact pass in small blocks; long words of equal polynomial hashes are not linked."""
+    monkeypatch.setattr(neardup, "FAN", 3)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(40)] + [twist(11), twist(11).translate({97: 98, 98: 97}), twist(11)]
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts), Scratch(spark), size=2, block=4).collect()}
+    assert out == {**dict.fromkeys(range(40), 0), 40: 40, 41: 41, 42: 40}
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     t = " ".join(f"w{k}" for k in range(50))
     out = [(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, [t, t, "a b c", t, None], [4, None, 4, 7, None]), Scratch(spark)).collect()]
