@@ -10,14 +10,14 @@ from .gauss import inverse_normal
 
 
 class Section:
-    """date: the column that names a cross-section."""
+    """by: the columns that name a cross-section."""
 
-    def __init__(self, date: str = "t"):
-        self.date = date
+    def __init__(self, by: tuple[str, ...] = ("t",)):
+        self.by = by
 
     @property
     def every(self) -> WindowSpec:
-        return Window.partitionBy(self.date)
+        return Window.partitionBy(*self.by)
 
     def count(self, x: Column) -> Column:
         return F.count(x).over(self.every)
@@ -27,8 +27,8 @@ class Section:
 
     def average_rank(self, x: Column) -> Column:
         """From 0; equal values share the mean of their ranks. Defined where x is present."""
-        present = Window.partitionBy(self.date, x.isNull())
-        ties = Window.partitionBy(self.date, x)
+        present = Window.partitionBy(*self.by, x.isNull())
+        ties = Window.partitionBy(*self.by, x)
         return F.rank().over(present.orderBy(x)) - 1 + (F.count(F.lit(1)).over(ties) - 1) / 2
 
     def quantiles(self, x: Column, low: float, high: float) -> Column:

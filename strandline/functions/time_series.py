@@ -143,4 +143,5 @@ class Series:
 
 UNARY = ("ts_mean", "ts_std", "ts_max", "ts_min", "ts_rank", "ts_delay", "ts_delta", "ts_sum", "ts_argmax", "ts_argmin", "ts_wma", "ts_ema", "ts_slope", "ts_residual", "ts_zscore", "ts_position", "ts_range")
 BINARY = ("ts_corr", "ts_cov", "ts_beta", "ts_orth")
+# fixed values: windows of the rolling operators
 WINDOWS = (5, 10, 20, 40, 60)

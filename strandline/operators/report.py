@@ -144,9 +144,59 @@ def correlation_matrix(pairs: DataFrame, names: list) -> DataFrame:
     return both.unionAll(own).groupBy("a").pivot("b", names).agg(F.first("c"))
 
 
+def matrix_summary(pairs: DataFrame) -> DataFrame:
+    """pairs: a, b, c. One row: how many are known, and mean, median, least and most of the signed and of the absolute correlations."""
+    cols = [f(x).alias(f"{k}{n}") for k, x in (("", F.col("c")), ("absolute_", F.abs("c"))) for n, f in (("mean", F.avg), ("median", lambda x: F.percentile(x, F.lit(0.5))), ("least", F.min), ("most", F.max))]
+    return pairs.agg(F.count("c").alias("n"), *cols)
+
+
+def distribution(df: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, mean, median, population deviation, least and most."""
+    return (df.groupBy(*by) if by else df.groupBy()).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_pop(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+
+
+def examples(df: DataFrame, orders: list[tuple[str, list]], n: int = 5, key: str = "hash") -> DataFrame:
+    """The first n rows by each of some orders, a row once: by the first order that has it, with its name and place."""
+    parts = None
+    for k, (name, order) in enumerate(orders):
+        top = df.orderBy(*order).limit(n)
+        one = top.withColumns({"by": F.lit(name), "place": F.row_number().over(Window.orderBy(*order)), "_k": F.lit(k)})  # n rows
+        parts = one if parts is None else parts.unionAll(one)
+    first = F.row_number().over(Window.partitionBy(key).orderBy("_k"))
+    return parts.withColumn("_n", first).filter("_n = 1").drop("_n", "_k")
+
+
+def masses(df: DataFrame, log_reward: str, by: tuple[str, ...]) -> DataFrame:
+    """The exact mass of each stratum: logarithm of the sum of rewards, the sum, valid and invalid (missing) ones. In one aggregation:
+    rewards are summed about the largest of their group."""
+    w = Window.partitionBy(*by)
+    rows = df.withColumn("_m", F.max(log_reward).over(w))
+    about = F.sum(F.exp(F.col(log_reward) - F.col("_m")))
+    out = rows.groupBy(*by).agg((F.max("_m") + F.log(about)).alias("log_mass"), F.count(log_reward).alias("valid"), F.count_if(F.col(log_reward).isNull()).alias("invalid"))
+    return out.withColumn("mass", F.exp("log_mass"))
+
+
+def stratum_coverage(evaluated: DataFrame, expected: DataFrame, stratum: str) -> DataFrame:
+    """evaluated: stratum, valid; expected: stratum, expected. Expected, evaluated and valid of each stratum, shares, and completeness."""
+    seen = evaluated.groupBy(stratum).agg(F.count(F.lit(1)).alias("evaluated"), F.count_if("valid").alias("valid"))
+    out = expected.join(seen, stratum, "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("evaluated", "valid")})
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    return out.withColumns({"share": share("evaluated", "expected"), "valid_share": share("valid", "evaluated"), "complete": F.col("evaluated") >= F.col("expected")})
+
+
+def flow_losses(df: DataFrame, by: tuple[str, ...], log_z: str, forward: str, log_reward: str, backward: str) -> DataFrame:
+    """Trajectory balance, the mean of (log_z + forward - log_reward - backward)^2, and the variance of the implied log partition.
+
+    forward and backward are sums of log probabilities along a trajectory.
+    """
+    implied = F.col(log_reward) + F.col(backward) - F.col(forward)
+    off = F.col(log_z) - implied
+    return df.groupBy(*by).agg(F.avg(off * off).alias("trajectory_balance"), F.var_pop(implied).alias("log_partition_variance"), F.count(F.lit(1)).alias("n"))
+
+
 def identified(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join that must find every row of the left side once."""
-    out = left.join(right, key)
-    if left.count() != out.count():
+    many = right.groupBy(key).agg(F.count(F.lit(1)).alias("_many"))
+    if left.select(key).join(many, key, "left").filter("_many is null or _many > 1").head(1):
         raise ValueError("some rows have no match, or several")
-    return out
+    return left.join(right, key)

@@ -58,9 +58,43 @@ class Grammar:
             sums = {s + n for s in sums for n in self.sizes(d) if s + n <= nodes}
         return nodes in sums
 
-    def parents(self, node: Node) -> int:
-        """In how many ways the last operator or leaf can be taken back: the uniform backward probability is 1 over it."""
-        return len({(n.action.token, n.depth()) for n in node.walk() if all(not c.children for c in n.children)})
+    # partial trees: None is a hole; a filled place is an action and its children
+
+    def open_slots(self, tree) -> list[tuple[int, ...]]:
+        """Paths of the holes, one of those that symmetry makes alike: the first."""
+        slots: dict[str, tuple[int, ...]] = {}
+        for path in sorted(_places(tree, lambda x: x is None)):
+            slots.setdefault(_key(_put(tree, path, _MARK)), path)
+        return sorted(slots.values())
+
+    def fits(self, tree, path: tuple[int, ...]) -> list[Action]:
+        """Actions that can fill a hole within the limits of depth and size."""
+        nodes, holes = len(_places(tree, lambda x: x is not None)), len(_places(tree, lambda x: x is None))
+        return [a for a in self.actions if not (a.arity and len(path) >= self.max_depth) and nodes + holes + a.arity <= self.max_nodes]
+
+    def transitions(self, tree) -> list[tuple[tuple[int, ...], Action]]:
+        """A place and an action for each tree that can come next."""
+        out: dict[str, tuple] = {}
+        for path in self.open_slots(tree):
+            for a in self.fits(tree, path):
+                out.setdefault(_key(self.step(tree, path, a)), (path, a))
+        return list(out.values())
+
+    def step(self, tree, path: tuple[int, ...], action: Action):
+        """The tree with the hole filled, in canonical order."""
+        return _sorted(_put(tree, path, (action, (None,) * action.arity)))
+
+    def parents(self, node) -> int:
+        """From how many trees one step leads here; the uniform backward probability is 1 over it. node: a tree or an expression.
+
+        A step is taken back at a place whose operands are all holes, or that has none; trees that symmetry makes alike count once.
+        """
+        return len(self.parent_trees(node))
+
+    def parent_trees(self, node) -> list:
+        tree = _sorted(_tree(node))
+        ends = _places(tree, lambda x: x is not None and all(c is None for c in x[1]))
+        return list({_key(t): t for t in (_sorted(_put(tree, p, None)) for p in ends)}.values())
 
     def enumerate(self, nodes: int, depth: int = 0) -> Iterator[Node]:
         """Canonical expressions of exactly so many nodes, each once."""
@@ -114,6 +148,42 @@ class Grammar:
         return out
 
 
+_MARK = "?"
+
+
+def _tree(node):
+    return (node.action, tuple(_tree(c) for c in node.children)) if isinstance(node, Node) else node
+
+
+def _key(tree) -> str:
+    """Canonical text of a partial tree."""
+    if tree is None:
+        return "_"
+    if tree == _MARK:
+        return _MARK
+    kids = [_key(c) for c in tree[1]]
+    return f"{tree[0].token}({','.join(sorted(kids) if tree[0].name in COMMUTATIVE else kids)})"
+
+
+def _sorted(tree):
+    """Operands of commutative operators in order of their text."""
+    if not isinstance(tree, tuple):
+        return tree
+    kids = tuple(_sorted(c) for c in tree[1])
+    return tree[0], tuple(sorted(kids, key=_key)) if tree[0].name in COMMUTATIVE else kids
+
+
+def _places(tree, wanted, path: tuple[int, ...] = ()) -> list[tuple[int, ...]]:
+    own = [path] if wanted(tree) else []
+    return own + [p for k, c in enumerate(tree[1] if tree else ()) for p in _places(c, wanted, (*path, k))]
+
+
+def _put(tree, path: tuple[int, ...], value):
+    if not path:
+        return value
+    return tree[0], tuple(_put(c, path[1:], value) if k == path[0] else c for k, c in enumerate(tree[1]))
+
+
 @cache
 def _sizes(levels: int, most: int) -> frozenset[int]:
     if levels <= 0:

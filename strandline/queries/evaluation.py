@@ -49,25 +49,39 @@ def ic_sql(source, x, y, name, by="t", least=20):
 {name} AS (SELECT {by}, count(*) AS n, CASE WHEN count(*) >= {least} AND stddev_pop(a) > 1e-12::DOUBLE AND stddev_pop(b) > 1e-12::DOUBLE THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS ic FROM {name}_r GROUP BY {by})"""
 
 
-def plain_sql(source, x, name, out="z"):
-    return f"""{name}_w AS (SELECT *, CASE WHEN universe AND {x} IS NOT NULL THEN least(greatest({x}, quantile_cont(CASE WHEN universe THEN {x} END, 0.01) OVER d), quantile_cont(CASE WHEN universe THEN {x} END, 0.99) OVER d) END AS cw FROM {source} WINDOW d AS (PARTITION BY t)),
-{name} AS (SELECT *, CASE WHEN count(cw) OVER d >= 2 AND stddev_pop(cw) OVER d > 1e-12::DOUBLE THEN (cw - avg(cw) OVER d) / stddev_pop(cw) OVER d END AS {out} FROM {name}_w WINDOW d AS (PARTITION BY t))"""
+def rank_ic_sql(source, raw, clean, label, name, by="t", least=20):
+    """CTEs: `name`(by, n, ic); n counts raw values, the coefficient is that of cleaned ones."""
+    avg = lambda c: f"CASE WHEN ok THEN rank() OVER (PARTITION BY {by}, ok ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, ok, {c}) - 1) / 2.0::DOUBLE END"
+    return f"""{name}_o AS (SELECT *, {clean} IS NOT NULL AND {label} IS NOT NULL AS ok, universe AND {raw} IS NOT NULL AND {label} IS NOT NULL AS counted FROM {source}),
+{name}_r AS (SELECT {by}, counted, {avg(clean)} AS a, {avg(label)} AS b FROM {name}_o),
+{name} AS (SELECT {by}, count(*) FILTER (counted) AS n, CASE WHEN count(a) >= {least} AND stddev_pop(a) > 1e-12::DOUBLE AND stddev_pop(b) > 1e-12::DOUBLE THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS ic FROM {name}_r GROUP BY {by})"""
 
 
-def candidate_sql(source, x, name, out="z"):
-    return f"""{name}_w AS (SELECT *, CASE WHEN universe AND {x} IS NOT NULL THEN least(greatest({x}, quantile_cont(CASE WHEN universe THEN {x} END, 0.01) OVER d), quantile_cont(CASE WHEN universe THEN {x} END, 0.99) OVER d) END AS w FROM {source} WINDOW d AS (PARTITION BY t)),
-{name}_k AS (SELECT *, count(w) OVER d AS nn, count(CASE WHEN w IS NOT NULL THEN industry END) OVER d AS kk, len(list_distinct(list(CASE WHEN w IS NOT NULL THEN industry END) OVER d)) AS gg,
-  w - avg(w) OVER (PARTITION BY t, CASE WHEN w IS NOT NULL THEN industry END) AS rr FROM {name}_w WINDOW d AS (PARTITION BY t)),
+def plain_sql(source, x, name, out="z", by="t"):
+    q = lambda p: f"quantile_cont(CASE WHEN universe THEN {x} END, {p}) OVER d"
+    return f"""{name}_w AS (SELECT *, CASE WHEN universe AND {x} IS NOT NULL THEN least(greatest({x}, {q(0.01)}), {q(0.99)}) END AS cw FROM {source} WINDOW d AS (PARTITION BY {by})),
+{name} AS (SELECT *, CASE WHEN count(cw) OVER d >= 2 AND stddev_pop(cw) OVER d > 1e-12::DOUBLE THEN (cw - avg(cw) OVER d) / stddev_pop(cw) OVER d END AS {out} FROM {name}_w WINDOW d AS (PARTITION BY {by}))"""
+
+
+def candidate_sql(source, x, name, out="z", by="t"):
+    q = lambda p: f"quantile_cont(CASE WHEN universe THEN {x} END, {p}) OVER d"
+    known = "CASE WHEN w IS NOT NULL THEN industry END"
+    return f"""{name}_w AS (SELECT *, CASE WHEN universe AND {x} IS NOT NULL THEN least(greatest({x}, {q(0.01)}), {q(0.99)}) END AS w FROM {source} WINDOW d AS (PARTITION BY {by})),
+{name}_k AS (SELECT *, count(w) OVER d AS nn, count({known}) OVER d AS kk, len(list_distinct(list({known}) OVER d)) AS gg, w - avg(w) OVER (PARTITION BY {by}, {known}) AS rr FROM {name}_w WINDOW d AS (PARTITION BY {by})),
 {name}_s AS (SELECT *, CASE WHEN nn < 2 THEN 'too few values' WHEN kk = 0 THEN 'no known industry' WHEN kk < gg + 1 THEN 'too few names for the industries' END AS reason FROM {name}_k),
 {name}_r AS (SELECT *, CASE WHEN reason IS NULL AND w IS NOT NULL AND industry IS NOT NULL THEN CASE WHEN abs(rr) <= 1e-12::DOUBLE THEN 0 ELSE rr END END AS r FROM {name}_s),
-{name} AS (SELECT * EXCLUDE (w, nn, kk, gg, rr, reason, r), CASE WHEN count(r) OVER d >= 2 AND stddev_pop(r) OVER d > 1e-12::DOUBLE THEN (r - avg(r) OVER d) / stddev_pop(r) OVER d END AS {out} FROM {name}_r WINDOW d AS (PARTITION BY t))"""
+{name} AS (SELECT * EXCLUDE (w, nn, kk, gg, rr, reason, r), CASE WHEN count(r) OVER d >= 2 AND stddev_pop(r) OVER d > 1e-12::DOUBLE THEN (r - avg(r) OVER d) / stddev_pop(r) OVER d END AS {out} FROM {name}_r WINDOW d AS (PARTITION BY {by}))"""
 
 
-def legs_sql(source, s, r, name, by="t"):
-    return f"""{name}_o AS (SELECT {by}, {r} AS r, {s} AS s, count(*) OVER (PARTITION BY {by}) AS n, row_number() OVER (PARTITION BY {by} ORDER BY {s} DESC, stock DESC) AS top, row_number() OVER (PARTITION BY {by} ORDER BY {s}, stock) AS low FROM {source} WHERE {s} IS NOT NULL AND {r} IS NOT NULL),
+def legs_sql(source, s, r, name, by="t", directed=None):
+    """CTEs: `name`(by, n, long, benchmark, excess, long_short). directed: the score times its direction, which ranks the long leg."""
+    last = lambda c: f"row_number() OVER (PARTITION BY {by} ORDER BY {c} DESC, stock DESC)"
+    low = f"row_number() OVER (PARTITION BY {by} ORDER BY {s}, stock)"
+    pair = "least(k, floor(n / 2.0::DOUBLE))"
+    return f"""{name}_o AS (SELECT {by}, {r} AS r, {s} AS s, count(*) OVER (PARTITION BY {by}) AS n, {last(directed or s)} AS top, {last(s)} AS high, {low} AS low FROM {source} WHERE {s} IS NOT NULL AND {r} IS NOT NULL),
 {name}_k AS (SELECT *, greatest(1, ceil(n * 0.1::DOUBLE)) AS k FROM {name}_o),
 {name} AS (SELECT {by}, count(*) AS n, avg(r) FILTER (top <= k) AS long, avg(r) AS benchmark, avg(r) FILTER (top <= k) - avg(r) AS excess,
-  avg(r) FILTER (top <= least(k, floor(n / 2.0::DOUBLE))) - avg(r) FILTER (low <= least(k, floor(n / 2.0::DOUBLE))) AS long_short FROM {name}_k GROUP BY {by} HAVING count(*) >= 20 AND max(s) - min(s) > 2.3e-16::DOUBLE)"""
+  avg(r) FILTER (high <= {pair}) - avg(r) FILTER (low <= {pair}) AS long_short FROM {name}_k GROUP BY {by} HAVING count(*) >= 20 AND max(s) - min(s) > 2.3e-16::DOUBLE)"""
 
 
 def _cols(*names):
@@ -113,12 +127,17 @@ def rank_ic_by_date(spark, sf_dir):
     return ev.rank_correlation(p, "s", "label").filter("n >= 20").select("t", "n", *_cols("ic"))
 
 
-_IC = FACTOR_SQL + f", {candidate_sql('fp', 'f2', 'c')}, {ic_sql('c', 'z', 'label', 'i')}"
+_IC = FACTOR_SQL + f", {candidate_sql('fp', 'f2', 'c')}, {rank_ic_sql('c', 'f2', 'z', 'label', 'i')}"
 
 
 def _ic(spark, sf_dir):
     p = ev.clean_candidate(factor_panel(spark, sf_dir), "f2", F.col("universe"), out="z")
-    return ev.rank_correlation(p, "z", "label")
+    return ev.rank_ic(p, "f2", "z", "label", F.col("universe"))
+
+
+@query(_IC + f"SELECT t, n, {_out('ic')} FROM i")
+def rank_ic_series(spark, sf_dir):
+    return _ic(spark, sf_dir).select("t", "n", *_cols("ic"))
 
 
 @query(_IC + ", b AS (SELECT min(t) AS f FROM i WHERE n >= 20) SELECT t, n FROM i, b WHERE t >= f AND (t - f) % 5 = 0")
@@ -126,9 +145,12 @@ def rebalance_calendar(spark, sf_dir):
     return ev.rebalance(_ic(spark, sf_dir).select("t", "n"))
 
 
-@query(_IC + f"SELECT {_out('mean', 'std', 'icir')}, valid, total, sign(mean)::DOUBLE AS direction FROM (SELECT avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / stddev_samp(ic) AS icir, count(ic) AS valid, count(*) AS total FROM i)")
+_SUMMARY = "avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / stddev_samp(ic) AS icir, count(ic) AS valid, count(*) AS total, avg(CASE WHEN ic IS NOT NULL THEN (ic > 1e-12::DOUBLE)::INT::DOUBLE END) AS positive"
+
+
+@query(_IC + f"SELECT {_out('mean', 'std', 'icir', 'positive')}, valid, total, sign(mean)::DOUBLE AS direction FROM (SELECT {_SUMMARY} FROM i)")
 def ic_summary(spark, sf_dir):
-    return ev.ic_summary(_ic(spark, sf_dir)).select(*_cols("mean", "std", "icir"), "valid", "total", "direction")
+    return ev.ic_summary(_ic(spark, sf_dir)).select(*_cols("mean", "std", "icir", "positive"), "valid", "total", "direction")
 
 
 _LEGS = FACTOR_SQL + f", {candidate_sql('fp', 'f2', 'c')}, {legs_sql('c', 'z', 'label', 'l')}"
@@ -175,8 +197,7 @@ def market_return(spark, sf_dir):
 
 
 def _styled(spark, sf_dir):
-    r = _returns(spark, sf_dir)
-    return ev.style_exposures(r.join(F.broadcast(ev.market_return(r)), "t", "left"), **STYLE)  # a row for each date
+    return ev.style_exposures(ev.with_market(_returns(spark, sf_dir)), **STYLE)
 
 
 STYLE_SQL = MARKET_SQL + """, sj AS (SELECT g.*, market, CASE WHEN market IS NOT NULL THEN ret END AS rj, CASE WHEN ret IS NOT NULL THEN market END AS mj, volume / shares AS turn FROM g LEFT JOIN mk USING (t)),
@@ -212,6 +233,39 @@ def style_correlation(spark, sf_dir):
     return _penalty(spark, sf_dir).select(*_cols("penalty"), "styles")
 
 
+_BY = "hash, split, t"
+_UNPIVOT = ", ".join(
+    [
+        "sp AS (SELECT *, CASE WHEN t < 180 THEN 'train' ELSE 'validation' END AS split FROM st)",
+        "lg AS (" + " UNION ALL ".join(f"SELECT '{k}' AS hash, split, t, stock, universe, label, industry, {k} AS x FROM sp" for k in FACTORS) + ")",
+        "sl AS (" + " UNION ALL ".join(f"SELECT '{k}' AS style, split, t, stock, universe, label, {k} AS x FROM sp" for k in ev.STYLES) + ")",
+    ]
+)
+EVALUATED_SQL = STYLE_SQL + f""", {_UNPIVOT}, {candidate_sql('lg', 'x', 'cz', by=_BY)}, {rank_ic_sql('cz', 'x', 'z', 'label', 'ri', _BY)},
+su AS (SELECT hash, split, avg(ic) AS ic, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS icir, count(ic) AS ic_periods, sign(avg(ic))::DOUBLE AS direction FROM ri GROUP BY ALL),
+cg AS (SELECT hash, split, count(*) FILTER (universe AND x IS NOT NULL) / count(*) FILTER (universe)::DOUBLE AS coverage FROM lg GROUP BY ALL),
+dz AS (SELECT cz.*, z * direction AS d FROM cz JOIN su USING (hash, split) WHERE direction <> 0), {legs_sql('dz', 'z', 'label', 'le', _BY, 'd')},
+lo AS (SELECT hash, split, count(excess) AS ir_periods, avg(excess) * 50.4::DOUBLE AS annual_excess, avg(excess) / stddev_samp(excess) * sqrt(50.4::DOUBLE) AS ir FROM le GROUP BY ALL),
+{plain_sql('sl', 'x', 'pz', by='style, split, t')}, {legs_sql('pz', 'z', 'label', 'ls', 'style, split, t')},
+co AS (SELECT hash, split, style, CASE WHEN count(*) >= 30 THEN corr(le.long_short, ls.long_short) END AS c FROM le JOIN ls USING (split, t) GROUP BY ALL),
+pn AS (SELECT hash, split, max(abs(c)) AS penalty, count(c) AS styles FROM co GROUP BY ALL),
+ev AS (SELECT *, CASE WHEN ic IS NULL THEN 'ic' WHEN ir IS NULL THEN 'ir' WHEN penalty IS NULL THEN 'style' END AS reason,
+  abs(ic) * (1 + 0.3::DOUBLE * least(greatest(ir, 0), 2)) * (1 - 0.2::DOUBLE * least(greatest(penalty, 0), 1)) AS raw FROM su LEFT JOIN cg USING (hash, split) LEFT JOIN lo USING (hash, split) LEFT JOIN pn USING (hash, split)),
+er AS (SELECT *, CASE WHEN reason IS NULL THEN greatest(raw, 1e-8::DOUBLE) END AS reward, CASE WHEN reason IS NULL THEN ln(greatest(raw, 1e-8::DOUBLE)) END AS log_reward, CASE WHEN reason IS NULL THEN raw < 1e-8::DOUBLE END AS floored FROM ev)"""
+_METRICS = ("ic", "ic_std", "icir", "annual_excess", "ir", "penalty", "coverage", "reward", "log_reward")
+
+
+def evaluated(spark, sf_dir):
+    """The four factors on a Train and a Validation split, from exposures to reward."""
+    s = _styled(spark, sf_dir).withColumn("split", F.when(F.col("t") < 180, "train").otherwise("validation"))
+    return ev.evaluate_candidates(s, list(FACTORS), ev.style_returns(s, "label", keys=("split",)), ("split",), common=30)
+
+
+@query(EVALUATED_SQL + f" SELECT hash, split, {_out(*_METRICS)}, ic_periods, direction, ir_periods, styles, reason, floored FROM er")
+def evaluate_candidates(spark, sf_dir):
+    return evaluated(spark, sf_dir).select("hash", "split", *_cols(*_METRICS), "ic_periods", "direction", "ir_periods", "styles", "reason", "floored")
+
+
 @query(FACTOR_SQL + f", {legs_sql('fp', 'f1', 'label', 'l')}, x AS (SELECT t, CASE WHEN t % 9 <> 0 THEN long_short / 10000 END AS r FROM l) SELECT t, round(CASE WHEN r IS NOT NULL THEN exp(sum(ln(1 + r)) OVER (ORDER BY t)) - 1 END, 6) + 0.0 AS total FROM x")
 def cumulative_return(spark, sf_dir):
     legs = ev.portfolios(factor_panel(spark, sf_dir), "f1", "label").select("t", F.when(F.col("t") % 9 != 0, F.col("long_short") / 10000).alias("r"))

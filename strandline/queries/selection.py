@@ -71,33 +71,61 @@ def top_strategy_input(spark, sf_dir):
 def _series(spark, sf_dir):
     """Long-short series of the factors and some of their combinations, ranked."""
     more = FACTORS | {"f5": "add(ts_mean(close, 5), ts_std(close, 10))", "f6": "ts_mean(open, 5)"}
-    p = factor_panel(spark, sf_dir, more)
-    out = None
-    for k in more:
-        one = ev.portfolios(p, k, "label").select(F.lit(k).alias("hash"), "t", F.col("long_short").alias("x"))
-        out = one if out is None else out.unionAll(one)
+    long = ev.long_form(factor_panel(spark, sf_dir, more), more, ("t", "stock", "label"), "hash")
+    out = ev.portfolios(long, "x", "label", by=("hash", "t")).select("hash", "t", F.col("long_short").alias("x"))
     return out, spark.createDataFrame([(k, n) for n, k in enumerate(more, 1)], "hash string, rank int")
 
 
 SERIES_SQL = FACTOR_SQL + ", fq AS (SELECT *, f1 + f4 AS f5, CASE WHEN count(open) OVER w = 5 THEN avg(open) OVER w END AS f6 FROM fp WINDOW w AS (PARTITION BY stock ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), " + ", ".join(legs_sql("fq", f"f{k}", "label", f"l{k}") for k in range(1, 7)) + ", sr AS (" + " UNION ALL ".join(f"SELECT {k} AS rank, t, long_short AS x FROM l{k}" for k in range(1, 7)) + "), pc AS (SELECT p.rank AS a, q.rank AS b, count(*) AS n, CASE WHEN count(*) >= 60 THEN corr(p.x, q.x) END AS c FROM sr p JOIN sr q ON p.t = q.t AND p.rank < q.rank GROUP BY ALL)"
 
 
-@query(SERIES_SQL + f" SELECT a, b, n, {_out('c')} FROM pc")
+_PAIR = "CASE WHEN n < 60 THEN 'insufficient_common_periods' WHEN c IS NULL THEN 'correlation_unavailable' ELSE 'valid' END AS status"
+
+
+@query(SERIES_SQL + f" SELECT a, b, n, {_out('c')}, {_PAIR} FROM pc")
 def pair_correlations(spark, sf_dir):
-    return sl.pair_correlations(*_series(spark, sf_dir)).select("a", "b", "n", *_cols("c"))
+    return sl.pair_correlations(*_series(spark, sf_dir)).select("a", "b", "n", *_cols("c"), "status")
 
 
-@query()
+def greedy_sql(pairs, n, name="gr"):
+    """CTEs: `name`(rank, kept, decided_by, verdict) of n candidates, by recursion over their ranks."""
+    c = lambda k: f"ml[({k} - 1) * {n} + {name}.rank + 1]"
+    return f"""{name}_g AS (SELECT a, b, c FROM (SELECT x.a, y.b FROM range(1, {n + 1}) x(a), range(1, {n + 1}) y(b)) LEFT JOIN {pairs} USING (a, b)),
+{name}_m AS (SELECT list(c ORDER BY a, b) AS ml FROM {name}_g),
+{name} AS (SELECT 0 AS rank, []::INT[] AS kept, NULL::INT AS decided_by, 'retained' AS verdict UNION ALL
+  SELECT rank + 1, CASE WHEN f IS NULL THEN list_append(kept, rank + 1) ELSE kept END, f, CASE WHEN f IS NULL THEN 'retained' WHEN ml[(f - 1) * {n} + rank + 1] IS NULL THEN 'invalid' ELSE 'rejected' END
+  FROM (SELECT {name}.rank, kept, ml, list_filter(kept, lambda k: coalesce(abs({c('k')}), 1) >= 0.7)[1] AS f FROM {name}, {name}_m WHERE {name}.rank < {n}))"""
+
+
+GREEDY_SQL = SERIES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + greedy_sql("pc", 6)
+
+
+@query(GREEDY_SQL + " SELECT rank, verdict, decided_by FROM gr WHERE rank > 0")
 def greedy_decorrelation(spark, sf_dir):
-    series, ranks = _series(spark, sf_dir)
-    return spark.createDataFrame(sl.greedy_decorrelate(ranks, sl.pair_correlations(series, ranks)), "rank int, verdict string, decided_by int")
+    return spark.createDataFrame(sl.greedy_select(*_series(spark, sf_dir), batch=4), "rank int, verdict string, decided_by int")
 
 
-@query()
+@query(GREEDY_SQL + " SELECT rank, verdict, decided_by, round(max(abs(c)), 6) AS max_correlation FROM gr LEFT JOIN pc ON pc.b = rank AND pc.a IN (SELECT rank FROM gr WHERE rank > 0 AND verdict = 'retained') WHERE rank > 0 GROUP BY ALL")
 def greedy_audit(spark, sf_dir):
     series, ranks = _series(spark, sf_dir)
     pairs = sl.pair_correlations(series, ranks).cache()  # 15 rows
-    return rp.greedy_audit(pairs, spark.createDataFrame(sl.greedy_decorrelate(ranks, pairs), "rank int, verdict string, decided_by int"))
+    out = rp.greedy_audit(pairs, spark.createDataFrame(sl.greedy_decorrelate(ranks, pairs), "rank int, verdict string, decided_by int"))
+    return out.select("rank", "verdict", "decided_by", F.round("max_correlation", 6).alias("max_correlation"))
+
+
+#: Screened metrics of the six candidates: f6 fails, and the others rank f5, f1, f2, f3, f4.
+_SCREENED = [("f1", 0.05, 0.04), ("f2", -0.04, -0.03), ("f3", 0.03, 0.02), ("f4", 0.02, 0.05), ("f5", 0.06, 0.02), ("f6", 0.07, -0.02)]
+
+
+@query(GREEDY_SQL.replace(greedy_sql("pc", 6), f"""rk(k, rank) AS (VALUES (5, 1), (1, 2), (2, 3), (3, 4), (4, 5)), s2 AS (SELECT rk.rank, t, x FROM sr JOIN rk ON rk.k = sr.rank),
+p2 AS (SELECT p.rank AS a, q.rank AS b, count(*) AS n, CASE WHEN count(*) >= 60 THEN corr(p.x, q.x) END AS c FROM s2 p JOIN s2 q ON p.t = q.t AND p.rank < q.rank GROUP BY ALL), {greedy_sql("p2", 5)}""")
+    + " SELECT gr.rank, 'f' || rk.k AS hash, verdict, 'f' || d.k AS decided_by, CASE WHEN verdict = 'retained' THEN sum((verdict = 'retained')::INT) OVER (ORDER BY gr.rank) END::INT AS place FROM gr JOIN rk USING (rank) LEFT JOIN rk d ON d.rank = gr.decided_by")
+def selection_run(spark, sf_dir):
+    series, _ = _series(spark, sf_dir)
+    rows = [(h, a, b, 0.5, 0.5, 0.1) for h, a, b in _SCREENED]
+    records = spark.createDataFrame(rows, "hash string, train_ic double, validation_ic double, train_ratio double, validation_ratio double, train_style double")
+    run = sl.Selection(records, series)
+    return run.verdicts.join(run.retained.select("rank", "place"), "rank", "left")
 
 
 @query("SELECT md5((o_orderkey % 500)::VARCHAR) AS hash, list_sort(list(DISTINCT o_orderpriority)) AS origins, count(*) AS visits, count(DISTINCT o_orderstatus) > 1 AS conflict FROM orders GROUP BY o_orderkey % 500".replace("list_sort(list(DISTINCT o_orderpriority)) AS origins", "array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS origins"))
@@ -146,22 +174,132 @@ def periodic_ic(spark, sf_dir):
     return bt.periodic_ic(_matrix(spark, sf_dir), DIRECTIONS, "label", LEAST).select("factor", "t", "n", *_cols("ic"))
 
 
+_LONG_IC = MATRIX_SQL + ", lg AS (" + " UNION ALL ".join(f"SELECT '{k}' AS factor, t, stock, label, {k} AS x FROM mx" for k in DIRECTIONS) + f"), {ic_sql('lg', 'x', 'label', 'i', 'factor, t', LEAST)}"
+
+
+def icir_sql(ic, periods, history, least, cap, n=4, update=4):
+    """CTEs up to wt(u, factor, weight). ic: a CTE (factor, p, ic); periods: a CTE (p)."""
+    return f"""ua AS (SELECT DISTINCT p AS u, greatest(p - 2, -1) AS upto FROM {periods} WHERE p >= 0 AND p % {update} = 0),
+ug AS (SELECT u, upto, factor FROM ua, (SELECT DISTINCT factor FROM {ic})),
+us AS (SELECT ug.u, ug.factor, CASE WHEN count(ic) >= {least} AND stddev_samp(ic) > 1e-12::DOUBLE THEN greatest(0, avg(ic) / stddev_samp(ic)) ELSE 0 END AS ratio
+  FROM ug LEFT JOIN {ic} h ON h.factor = ug.factor AND h.p <= upto AND h.p > upto - {history} GROUP BY ug.u, ug.factor),
+uq AS (SELECT *, sum(ratio) OVER (PARTITION BY u) AS total, quantile_cont(CASE WHEN ratio > 0 THEN ratio END, 0.95) OVER (PARTITION BY u) AS most FROM us),
+uc AS (SELECT *, CASE WHEN total > 1e-12::DOUBLE THEN least(ratio, most) END AS clipped FROM uq),
+uw AS (SELECT *, 0.5::DOUBLE / {n} + 0.5::DOUBLE * clipped / sum(clipped) OVER (PARTITION BY u) AS w FROM uc),
+ur AS (SELECT *, least(w, {cap}::DOUBLE) + coalesce(greatest({cap}::DOUBLE - w, 0) * sum(greatest(w - {cap}::DOUBLE, 0)) OVER (PARTITION BY u) / nullif(sum(greatest({cap}::DOUBLE - w, 0)) OVER (PARTITION BY u), 0), 0) AS v FROM uw),
+wt AS (SELECT u, factor, coalesce(last_value(CASE WHEN w IS NOT NULL THEN v END IGNORE NULLS) OVER (PARTITION BY factor ORDER BY u), 1.0::DOUBLE / {n}) AS weight FROM ur)"""
+
+
 def _weighted(spark, sf_dir):
-    m = _matrix(spark, sf_dir).withColumn("p", F.col("t"))
+    m = _matrix(spark, sf_dir).withColumn("p", F.col("t")).persist()  # for coefficients, periods and scores
     ic = bt.periodic_ic(m, DIRECTIONS, "label", LEAST).select("factor", F.col("t").alias("p"), "ic")
     return m, bt.icir_weights(ic, list(DIRECTIONS), m.select("p").distinct(), history=60, least=30, cap=0.4)
 
 
-@query()
+_WEIGHTED = _LONG_IC + ", hi AS (SELECT factor, t AS p, ic FROM i), pe AS (SELECT DISTINCT t AS p FROM mx), " + icir_sql("hi", "pe", 60, 30, 0.4)
+
+
+@query(_WEIGHTED + f" SELECT u, factor, {_out('weight')} FROM wt")
 def rolling_icir_weights(spark, sf_dir):
     return _weighted(spark, sf_dir)[1].select("u", "factor", *_cols("weight"))
 
 
-@query()
+@query(_WEIGHTED + " SELECT t, stock, round(sum(weight * x), 6) + 0.0 AS score FROM lg JOIN wt ON wt.factor = lg.factor AND wt.u = lg.t - lg.t % 4 GROUP BY t, stock")
 def rolling_icir_scores(spark, sf_dir):
     return bt.rolling_scores(*_weighted(spark, sf_dir), list(DIRECTIONS)).select("t", "stock", *_cols("score"))
 
 
+#: First period out of sample; the coefficients of those before seed the weights. f4 has few of them, and all of the first year are negated.
+TEST = 150
+
+
+def _seeded(spark, sf_dir):
+    m = _matrix(spark, sf_dir).persist()  # for coefficients, periods and scores
+    ic = bt.periodic_ic(m, DIRECTIONS, "label", LEAST).withColumn("p", F.col("t") - TEST)
+    ic = ic.select("factor", "p", F.when((F.col("factor") != "f4") | (F.col("p") >= -40), F.when(F.col("p") < -100, -F.abs("ic")).otherwise(F.col("ic"))).alias("ic"))
+    test = m.filter(F.col("t") >= TEST).withColumn("p", (F.col("t") - TEST).cast("int"))
+    return m, test, bt.icir_weights(ic, list(DIRECTIONS), test.select("p").distinct(), history=100, least=60, cap=0.3)
+
+
+_SEEDED = _LONG_IC + f", hi AS (SELECT factor, t - {TEST} AS p, CASE WHEN factor <> 'f4' OR t - {TEST} >= -40 THEN CASE WHEN t - {TEST} < -100 THEN -abs(ic) ELSE ic END END AS ic FROM i), pe AS (SELECT DISTINCT t - {TEST} AS p FROM mx WHERE t >= {TEST}), " + icir_sql("hi", "pe", 100, 60, 0.3)
+
+
+@query(_SEEDED + f" SELECT u, factor, {_out('weight')} FROM wt")
+def rolling_icir_seeded(spark, sf_dir):
+    return _seeded(spark, sf_dir)[2].select("u", "factor", *_cols("weight"))
+
+
+# out of sample: three strategies on test dates, on a five-hundredth of the returns, which swing too far to compound
+
+OOS_SQL = _SEEDED + f""", rs AS (SELECT t, stock, sum(weight * x) AS score FROM lg JOIN wt ON wt.factor = lg.factor AND wt.u = (lg.t - {TEST}) - (lg.t - {TEST}) % 4 WHERE t >= {TEST} GROUP BY t, stock),
+sc AS (SELECT 'equal' AS strategy, t, stock, score FROM ew WHERE t >= {TEST} UNION ALL SELECT 'rolling', t, stock, score FROM rs UNION ALL SELECT 'second', t, stock, f2 FROM mx WHERE t >= {TEST}),
+rw AS (SELECT sc.*, date, label / 500 AS label FROM sc JOIN (SELECT t, stock, date, label FROM fp) l USING (t, stock)),
+cs AS (SELECT strategy, t, count(*) AS eligible, count(label) AS labelled, max(score) FILTER (label IS NOT NULL) - min(score) FILTER (label IS NOT NULL) AS width FROM rw GROUP BY ALL),
+cd AS (SELECT t, max(eligible) AS eligible, max(labelled) AS labelled, list_sort(list(strategy || ' has constant scores') FILTER (width = 0)) AS flat FROM cs GROUP BY t),
+cv AS (SELECT t, (row_number() OVER (ORDER BY t) - 1)::INT AS p, eligible, labelled, concat_ws('|', CASE WHEN labelled < {LEAST} THEN 'too few labels' END, array_to_string(flat, '|')) AS reasons FROM cd),
+gd AS (SELECT rw.*, p FROM rw JOIN cv USING (t) WHERE reasons = '' AND label IS NOT NULL),
+{ic_sql('gd', 'score', 'label', 'oi', 'strategy, t', LEAST)},
+ag AS (SELECT *, ntile(10) OVER (PARTITION BY strategy, t ORDER BY score, stock) AS g FROM gd QUALIFY count(*) OVER (PARTITION BY strategy, t) >= {LEAST}),
+gr AS (SELECT strategy, t, date, p, {', '.join(f'avg(label) FILTER (g = {k}) AS g{k}' for k in range(1, 11))}, avg(label) AS benchmark, avg(label) FILTER (g = 10) - avg(label) FILTER (g = 1) AS spread, avg(label) FILTER (g = 10) - avg(label) AS excess FROM ag GROUP BY ALL),
+ho AS (SELECT strategy, p, stock, label AS ret, 1.0::DOUBLE / count(*) OVER (PARTITION BY strategy, p) AS w FROM ag WHERE g = 10),
+dd AS (SELECT strategy, p + 1 AS p, stock, w * (1 + ret) / sum(w * (1 + ret)) OVER (PARTITION BY strategy, p) AS drift FROM ho),
+bo AS (SELECT coalesce(ho.strategy, dd.strategy) AS strategy, coalesce(ho.p, dd.p) AS p, sum(abs(coalesce(w, 0) - coalesce(drift, 0))) / 2 AS moved, 1 - count(CASE WHEN w IS NOT NULL AND drift IS NOT NULL THEN 1 END) / count(w)::DOUBLE AS gone, count(w) AS names, count(drift) AS old
+  FROM ho FULL JOIN dd ON ho.strategy = dd.strategy AND ho.p = dd.p AND ho.stock = dd.stock GROUP BY 1, 2),
+tu AS (SELECT strategy, bo.p, CASE WHEN old > 0 THEN moved END AS turnover, CASE WHEN old > 0 THEN gone END AS replaced FROM bo WHERE names > 0),
+pf AS (SELECT gr.*, g10 AS long, turnover, turnover * 0.002::DOUBLE AS cost, g10 - turnover * 0.002::DOUBLE AS net FROM gr LEFT JOIN tu USING (strategy, p)),
+sx AS ({' UNION ALL '.join(f"SELECT strategy, '{k}' AS series, t, date, {k} AS x FROM pf" for k in ('long', 'benchmark', 'excess', 'spread'))}),
+nv AS (SELECT *, product(1 + x) OVER (PARTITION BY strategy, series ORDER BY t) AS nav FROM sx),
+dn AS (SELECT *, nav / greatest(1, max(nav) OVER (PARTITION BY strategy, series ORDER BY t)) - 1 AS drawdown FROM nv)"""
+
+
+def _oos(spark, sf_dir):
+    m, test, weights = _seeded(spark, sf_dir)
+    parts = [bt.equal_weight(test, DIRECTIONS).select(F.lit("equal").alias("strategy"), "t", "stock", "score"), bt.rolling_scores(test, weights, list(DIRECTIONS)).select(F.lit("rolling").alias("strategy"), "t", "stock", "score")]
+    scores = parts[0].unionAll(parts[1]).unionAll(test.select(F.lit("second"), "t", "stock", F.col("f2")))
+    labels = test.select("t", "stock", (F.col("label") / 500).alias("label"))
+    return bt.OutOfSample(scores, labels, test.select("t", "date").distinct(), 0.002, LEAST)
+
+
+@query(OOS_SQL + " SELECT t, p, eligible, labelled, reasons = '' AS valid, reasons FROM cv")
+def oos_coverage(spark, sf_dir):
+    return _oos(spark, sf_dir).coverage.select("t", "p", "eligible", "labelled", "valid", "reasons")
+
+
+@query(OOS_SQL + f" SELECT strategy, t, {_out('long', 'benchmark', 'excess', 'spread', 'turnover', 'cost', 'net')} FROM pf")
+def oos_portfolio(spark, sf_dir):
+    return _oos(spark, sf_dir).portfolio.select("strategy", "t", *_cols("long", "benchmark", "excess", "spread", "turnover", "cost", "net"))
+
+
+@query(OOS_SQL + " SELECT strategy, series, date, round(nav, 8) AS nav, round(drawdown, 8) + 0.0 AS drawdown, false AS initial FROM dn UNION ALL SELECT strategy, series, min(date) - 1, 1.0::DOUBLE, 0.0::DOUBLE, true FROM sx GROUP BY strategy, series")
+def oos_nav(spark, sf_dir):
+    return _oos(spark, sf_dir).navs().select("strategy", "series", "date", F.round("nav", 8).alias("nav"), (F.round("drawdown", 8) + 0.0).alias("drawdown"), "initial")
+
+
+@query(OOS_SQL + " SELECT strategy, series, count(x) AS n, round(pow(product(1 + x), 50.4::DOUBLE / count(x)) - 1, 8) + 0.0 AS annual, round(stddev_samp(x), 8) AS std, round(avg(x) / stddev_samp(x) * sqrt(50.4::DOUBLE), 8) + 0.0 AS ratio, round(least(0, min(drawdown)), 8) + 0.0 AS max_drawdown, round(avg((x > 1e-12::DOUBLE)::INT::DOUBLE), 8) AS wins FROM dn GROUP BY ALL")
+def oos_performance(spark, sf_dir):
+    out = _oos(spark, sf_dir).performance()
+    return out.select("strategy", "series", "n", *[(F.round(c, 8) + 0.0).alias(c) for c in ("annual", "std", "ratio", "max_drawdown", "wins")])
+
+
+_MEANS = [*(f"g{k}" for k in range(1, 11)), "spread"]
+
+
+@query(OOS_SQL + f""", a AS (SELECT strategy, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / stddev_samp(ic) AS icir, avg(CASE WHEN ic IS NOT NULL THEN (ic > 1e-12::DOUBLE)::INT::DOUBLE END) AS positive, count(ic) AS valid FROM oi GROUP BY strategy),
+b AS (SELECT strategy, {', '.join(f'avg({k}) AS {k}' for k in _MEANS)} FROM gr GROUP BY strategy),
+c AS (SELECT strategy, avg(turnover) AS turnover_mean, quantile_cont(turnover, 0.5) AS turnover_median, quantile_cont(turnover, 0.75) AS turnover_p75, max(turnover) AS turnover_most, count(turnover) AS turnovers, avg(replaced) AS replaced_mean FROM tu GROUP BY strategy)
+SELECT strategy, {_out('mean', 'std', 'icir', 'positive', *_MEANS, 'turnover_mean', 'turnover_median', 'turnover_p75', 'turnover_most', 'replaced_mean')}, valid, turnovers FROM a JOIN b USING (strategy) JOIN c USING (strategy)""")
+def oos_summary(spark, sf_dir):
+    out = _oos(spark, sf_dir).summary()
+    return out.select("strategy", *_cols("mean", "std", "icir", "positive", *_MEANS, "turnover_mean", "turnover_median", "turnover_p75", "turnover_most", "replaced_mean"), "valid", "turnovers")
+
+
+@query(MATRIX_SQL + f" SELECT t, stock, round(score, 6) + 0.0 AS equal, {_out('f2', 'label')} FROM ew")
+def score_pivot(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    scores = bt.equal_weight(m, DIRECTIONS).select(F.lit("equal").alias("strategy"), "t", "stock", "score").unionAll(m.select(F.lit("f2"), "t", "stock", "f2"))
+    return bt.score_pivot(scores, m, ["equal", "f2"]).select("t", "stock", *_cols("equal", "f2", "label"))
+
+
 @query()
 def boosted_scores(spark, sf_dir):
     m = _matrix(spark, sf_dir)
@@ -268,10 +406,17 @@ def score_correlation(spark, sf_dir):
     return bt.score_correlation(scores).select("a", "b", *_cols("correlation"), "dates")
 
 
-@query(FACTOR_SQL + f", {ic_sql('fp', 'f1', 'label', 'i')} SELECT CASE WHEN t < 150 THEN 'train' WHEN t < 250 THEN 'validation' ELSE 'test' END AS split, {_out('mean', 'std', 'icir')}, valid, total FROM (SELECT min(t) AS t, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / stddev_samp(ic) AS icir, count(ic) AS valid, count(*) AS total FROM i GROUP BY CASE WHEN t < 150 THEN 'train' WHEN t < 250 THEN 'validation' ELSE 'test' END)")
+_SPLIT = "CASE WHEN t < 150 THEN 'train' WHEN t < 250 THEN 'validation' ELSE 'test' END"
+
+
+@query(DECILE_SQL + f""", kn AS (SELECT t, stock, label, f1, {_SPLIT} AS split FROM fp WHERE f1 IS NOT NULL AND label IS NOT NULL QUALIFY max(f1) OVER (PARTITION BY t) > min(f1) OVER (PARTITION BY t)), {ic_sql('kn', 'f1', 'label', 'i')},
+s AS (SELECT {_SPLIT} AS split, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / stddev_samp(ic) AS icir, count(ic) AS valid, count(*) AS total, avg((ic > 1e-12::DOUBLE)::INT::DOUBLE) AS positive FROM i WHERE n >= 20 GROUP BY ALL),
+g AS (SELECT split, t, label, ntile(10) OVER (PARTITION BY t ORDER BY f1, stock) AS g FROM kn QUALIFY count(*) OVER (PARTITION BY t) >= 20),
+m AS (SELECT split, avg(spread) AS spread FROM (SELECT split, t, avg(label) FILTER (g = 10) - avg(label) FILTER (g = 1) AS spread FROM g GROUP BY ALL) GROUP BY split)
+SELECT split, {_out('mean', 'std', 'icir', 'positive', 'spread')}, valid, total FROM s LEFT JOIN m USING (split)""")
 def split_effectiveness(spark, sf_dir):
-    ic = ev.rank_correlation(factor_panel(spark, sf_dir), "f1", "label").withColumn("split", F.when(F.col("t") < 150, "train").when(F.col("t") < 250, "validation").otherwise("test"))
-    return ev.ic_summary(ic, by=("split",)).select("split", *_cols("mean", "std", "icir"), "valid", "total")
+    p = factor_panel(spark, sf_dir).withColumn("split", F.when(F.col("t") < 150, "train").when(F.col("t") < 250, "validation").otherwise("test"))
+    return bt.split_effectiveness(p, "f1", "label").select("split", *_cols("mean", "std", "icir", "positive", "spread"), "valid", "total")
 
 
 # generation
@@ -306,10 +451,41 @@ def partition_mass(spark, sf_dir):
     return rp.log_sum_exp(c, "x", ("stratum",)).select("stratum", F.round("log_mass", 6).alias("log_mass"), "n")
 
 
-@query("SELECT o_orderstatus AS condition, round(var_pop(o_totalprice / 100000), 6) AS log_partition_variance, round(avg(pow(1 + o_totalprice / 100000, 2)), 6) AS trajectory_balance FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS condition, round(avg(pow(1.5::DOUBLE + o_orderkey % 3 - o_totalprice / 100000 - ln(1 + o_custkey), 2)), 6) AS trajectory_balance, round(var_pop(o_totalprice / 100000 + ln(1 + o_custkey) - o_orderkey % 3), 6) AS log_partition_variance, count(*) AS n FROM orders GROUP BY 1")
 def flow_losses(spark, sf_dir):
-    x = F.col("o_totalprice") / 100000
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("condition")).agg(F.round(F.var_pop(x), 6).alias("log_partition_variance"), F.round(F.avg(F.pow(x + 1, F.lit(2.0))), 6).alias("trajectory_balance"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("condition"), F.lit(1.5).alias("z"), (F.col("o_orderkey") % 3).cast("double").alias("f"), (F.col("o_totalprice") / 100000).alias("r"), F.log1p("o_custkey").alias("b"))
+    out = rp.flow_losses(o, ("condition",), "z", "f", "r", "b")
+    return out.select("condition", F.round("trajectory_balance", 6).alias("trajectory_balance"), F.round("log_partition_variance", 6).alias("log_partition_variance"), "n")
+
+
+@query("WITH c AS (SELECT o_orderstatus AS stratum, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 100000 - 3 END AS x FROM orders), m AS (SELECT stratum, max(x) AS m FROM c GROUP BY stratum) SELECT stratum, round(max(m) + ln(sum(exp(x - m))), 6) AS log_mass, round(exp(max(m)) * sum(exp(x - m)), 4) AS mass, count(x) AS valid, (count(*) - count(x))::BIGINT AS invalid FROM c JOIN m USING (stratum) GROUP BY stratum")
+def exact_masses(spark, sf_dir):
+    c = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("stratum"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 100000 - 3).alias("x"))
+    return rp.masses(c, "x", ("stratum",)).select("stratum", F.round("log_mass", 6).alias("log_mass"), F.round("mass", 4).alias("mass"), "valid", "invalid")
+
+
+@query("WITH e AS (SELECT n, (n * n * 10)::BIGINT AS expected FROM range(1, 9) r(n)), s AS (SELECT p_size % 7 + 1 AS n, count(*) AS evaluated, count(*) FILTER (p_retailprice > 1200) AS valid FROM part GROUP BY 1) SELECT n::INT AS n, expected, coalesce(evaluated, 0) AS evaluated, coalesce(valid, 0) AS valid, round(coalesce(evaluated, 0) / expected::DOUBLE, 6) AS share, round(valid / evaluated::DOUBLE, 6) AS valid_share, coalesce(evaluated, 0) >= expected AS complete FROM e LEFT JOIN s USING (n)")
+def stratum_coverage(spark, sf_dir):
+    seen = table(spark, sf_dir, "part").select((F.col("p_size") % 7 + 1).cast("int").alias("n"), (F.col("p_retailprice") > 1200).alias("valid"))
+    out = rp.stratum_coverage(seen, spark.createDataFrame([(n, n * n * 10) for n in range(1, 9)], "n int, expected long"), "n")
+    return out.select("n", "expected", "evaluated", "valid", F.round("share", 6).alias("share"), F.round("valid_share", 6).alias("valid_share"), "complete")
+
+
+@query(CANDIDATE_SQL + ", x AS (SELECT *, row_number() OVER (ORDER BY abs(train_ic) DESC, hash) AS i, row_number() OVER (ORDER BY train_ratio DESC, hash) AS r FROM c) SELECT hash, CASE WHEN i <= 5 THEN 'ic' ELSE 'ratio' END AS by, (CASE WHEN i <= 5 THEN i ELSE r END)::INT AS place FROM x WHERE i <= 5 OR r <= 5")
+def quality_examples(spark, sf_dir):
+    return rp.examples(_candidates(spark, sf_dir), [("ic", [F.desc(F.abs("train_ic")), "hash"]), ("ratio", [F.desc("train_ratio"), "hash"])]).select("hash", "by", "place")
+
+
+@query(CANDIDATE_SQL + " SELECT o_orderstatus, count(validation_ic) AS n, round(avg(validation_ic), 8) + 0.0 AS mean, round(quantile_cont(validation_ic, 0.5), 6) + 0.0 AS median, round(stddev_pop(validation_ic), 6) AS std, round(min(validation_ic), 6) AS least, round(max(validation_ic), 6) AS most FROM c GROUP BY 1")
+def ic_distribution(spark, sf_dir):
+    out = rp.distribution(_candidates(spark, sf_dir), "validation_ic", ("o_orderstatus",))
+    return out.select("o_orderstatus", "n", (F.round("mean", 8) + 0.0).alias("mean"), *_cols("median"), *[F.round(c, 6).alias(c) for c in ("std", "least", "most")])
+
+
+@query(SERIES_SQL + f" SELECT count(c) AS n, {_out('avg(c)')[:-len(' AS avg(c)')]} AS mean, round(quantile_cont(c, 0.5), 6) + 0.0 AS median, round(min(c), 6) AS least, round(max(c), 6) AS most, round(avg(abs(c)), 6) AS absolute_mean, round(quantile_cont(abs(c), 0.5), 6) AS absolute_median, round(min(abs(c)), 6) AS absolute_least, round(max(abs(c)), 6) AS absolute_most FROM pc")
+def correlation_summary(spark, sf_dir):
+    out = rp.matrix_summary(sl.pair_correlations(*_series(spark, sf_dir)))
+    return out.select("n", *_cols(*[k + c for k in ("", "absolute_") for c in ("mean", "median", "least", "most")]))
 
 
 # reports
@@ -428,6 +604,26 @@ def quota_sample(spark, sf_dir):
     return sl.quota_sample(_candidates(spark, sf_dir), [("even", F.col("k") % 2 == 0, 20), ("strong", F.col("train_ratio") > 1, 30)], ["hash"])
 
 
+_QUOTAS = {"small": 6, "middle": 5, "series": 4, "section": 4, "both": 3, "complex": 5, "origins": 7, "fill": 0}
+_STRUCTURE = {"small": "nodes <= 3", "middle": "nodes > 3 AND nodes <= 6", "series": "s AND NOT c", "section": "c AND NOT s", "both": "s AND c", "complex": "nodes > 6", "origins": "origins > 1", "fill": "true"}
+
+
+@query("WITH c AS (SELECT md5(p_partkey::VARCHAR) AS hash, p_size % 9 + 1 AS nodes, p_partkey % 2 = 0 AS s, p_partkey % 3 = 0 AS c, p_partkey % 4 + 1 AS origins FROM part), "
+    + ", ".join(f"q{k} AS (SELECT hash, {k} AS k, '{n}' AS stratum FROM c WHERE {_STRUCTURE[n]} ORDER BY hash LIMIT {q or 40})" for k, (n, q) in enumerate(_QUOTAS.items()))
+    + ", u AS (" + " UNION ALL ".join(f"SELECT * FROM q{k}" for k in range(8)) + "), f AS (SELECT hash, min(k) AS k, arg_min(stratum, k) AS stratum FROM u GROUP BY hash) SELECT hash, stratum FROM f ORDER BY k, hash LIMIT 40")
+def structure_sample(spark, sf_dir):
+    k = F.col("p_partkey")
+    origins = F.sequence(F.lit(0).cast("long"), k % 4)
+    c = table(spark, sf_dir, "part").select(F.md5(k.cast("string").cast("binary")).alias("hash"), (F.col("p_size") % 9 + 1).alias("nodes"), (k % 2 == 0).alias("series"), (k % 3 == 0).alias("section"), origins.alias("origins"))
+    return sl.quota_sample(c, sl.structure_strata(_QUOTAS | {"fill": 40}), ["hash"], total=40)
+
+
+@query("WITH o AS (SELECT md5(p_partkey::VARCHAR) AS hash, p_brand AS stratum, row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey::VARCHAR)) - 1 AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT hash, stratum, i::INT AS place FROM o, range(7) AS g(i) WHERE r = floor(i * (n - 1) / 6.0::DOUBLE)")
+def spread_strata(spark, sf_dir):
+    c = table(spark, sf_dir, "part").select(F.md5(F.col("p_partkey").cast("string").cast("binary")).alias("hash"), F.col("p_brand").alias("stratum"))
+    return sl.spread_sample(c, 7, ["hash"], ("stratum",)).select("hash", "stratum", "place")
+
+
 @query(CANDIDATE_SQL + ", o AS (SELECT hash, row_number() OVER (ORDER BY hash) - 1 AS r, count(*) OVER () AS n FROM c) SELECT hash, i::INT AS place FROM o, range(25) AS g(i) WHERE r = floor(i * (n - 1) / 24.0::DOUBLE)")
 def spread_sample(spark, sf_dir):
     return sl.spread_sample(_candidates(spark, sf_dir).select("hash"), 25, ["hash"]).select("hash", "place")

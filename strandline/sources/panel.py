@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,10 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def densify(facts: DataFrame, dates: DataFrame, entities: DataFrame) -> DataFrame:
     """facts on the grid of dates (date) and entities (stock, and what belongs to it); adds t, the number of the date from 0.
 
-    The calendar is small whatever the facts and is numbered in one place; the entities are paired with it without a shuffle.
+    The calendar, a date a row whatever the facts, becomes one sorted array, which each entity unfolds in its own task.
     """
-    numbered = dates.select("date", (F.row_number().over(Window.orderBy("date")) - 1).cast("int").alias("t"))
-    return entities.join(F.broadcast(numbered)).join(facts, ["date", "stock"], "left")
+    calendar = dates.agg(F.sort_array(F.collect_set("date")).alias("_dates"))  # one row
+    grid = entities.join(F.broadcast(calendar)).select(*entities.columns, F.posexplode("_dates").alias("t", "date"))
+    return grid.select(*entities.columns, "date", "t").join(facts, ["date", "stock"], "left")
 
 
 def weekly_brands(spark: SparkSession, sf_dir: str) -> DataFrame:

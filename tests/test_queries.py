@@ -22,6 +22,13 @@ def test_entry(spark, small):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_audit_verdicts(spark, small):
+    got = {r["hash"]: (r["verdict"], r["formula"]) for r in QUERIES["compatibility_audit"](spark, small).collect()}
+    assert got["0" * 64] == ("review", "open") and got["5" * 64][0] == "reject"
+    assert all(got[str(k) * 64] == ("reject", None) for k in (1, 2, 3, 4))
+    assert all(got[n.hash()] == ("accept", n.formula()) for k in (1, 2) for n in Grammar().enumerate(k))
+
+
 def test_audit_of_all_small_expressions(spark, small):
     got = QUERIES["compatibility_audit"](spark, small).groupBy("verdict").count().collect()
     want = [n.hash() for k in (1, 2) for n in Grammar().enumerate(k)]
