@@ -102,7 +102,9 @@ def statistics(column: pa.Array) -> np.ndarray:
         full_l = np.bincount(row_l[full], minlength=n)
         mean_l = np.bincount(row_l, length_l, n) / np.maximum(lines, 1)
         spread_l = np.sqrt(np.maximum(np.bincount(row_l, length_l**2, n) / np.maximum(lines, 1) - mean_l**2, 0))
-        equal = total(np.concatenate((buf[1:] == buf[:-1], [False])))
+        same_byte = np.concatenate((buf[1:] == buf[:-1], [False]))
+        same_byte[last] = same_byte[np.maximum(last - 1, 0)] = False  # neighbours of one text only
+        equal = total(same_byte)
         bytes_ = np.maximum(size, 1)
         out[lo:hi] = np.stack(
             [

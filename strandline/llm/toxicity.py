@@ -1,7 +1,7 @@
 """Toxicity: a character n-gram linear classifier on features scaled by naive Bayes log-count ratios.
 
 Features are the presence of hashed character 4-, 5- and 6-grams of the whole lower-cased text, in which each run of characters other
-than letters is one boundary. Each is scaled by the log ratio of its
+than letters is one boundary, with one more at the end. Each is scaled by the log ratio of its
 smoothed shares among toxic and other texts of a labelled sample; a linear classifier is trained on the scaled features by averaged
 passive-aggressive steps, and its margins become probabilities by a logistic curve fitted on margins of texts that were left out of
 training in turn.
@@ -90,14 +90,19 @@ def curve(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[fl
     return max(t[0], 0.0) / scale, t[1]
 
 
-def _train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
-    """Weight of each feature, and bias."""
-    size = 1 << BITS
-    counts = np.full((2, size), SMOOTH)
+def log_ratios(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """For each feature the logarithm of its smoothed share among texts of label 1 over that among others; 0 if few texts hold it."""
+    counts = np.full((2, 1 << BITS), SMOOTH)
     for f, y in rows:
         counts[y, f] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio[counts.sum(0) < 2 * SMOOTH + LEAST_TEXTS] = 0
+    return ratio
+
+
+def _train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
+    """Weight of each feature, and bias."""
+    size, ratio = 1 << BITS, log_ratios(rows)
     rows = [(f[ratio[f] != 0], y) for f, y in rows]  # the others would weigh nothing
     w, total, steps = np.zeros(size), np.zeros(size), 0
     bias, bias_total = 0.0, 0.0

@@ -116,6 +116,104 @@ def test_bundle_is_the_sum_of_bound_vectors():
         assert np.array_equal(v, want)
 
 
+def test_prediction_is_the_nearest_prototype(spark):
+    """Prototypes and cosines in plain numpy, from bundles of whole texts."""
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    make = lambda syl, n: " ".join("".join(rng.choice(syl) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    kinds = {"aa": ["th", "er", "on", "an"], "bb": ["ch", "on", "ß", "ung"], "cc": ["ño", "er", "que", "ía"]}
+    texts, langs = zip(*[(make(s, rng.randint(1, 30)), k) for k, s in kinds.items() for _ in range(30)], strict=True)
+    whole = lambda ts: np.concatenate([x for _, _, x in language.bundles(pa.array(ts))]).astype(float)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    d = docs(spark, texts, langs=list(langs))
+    names, prototypes = language.learn(d, sample=10**6)
+    want = {k: unit(sum(unit(whole([t]))[0] for t, g in zip(texts, langs, strict=True) if g == k)) for k in kinds}
+    assert names == sorted(kinds) and np.allclose(prototypes, [want[k] for k in names], atol=1e-6)
+    asked = [*texts, make(kinds["aa"], 5), "12", make(kinds["cc"], 3000)]
+    out = language.identify(docs(spark, asked).withColumn("held_out", F.lit(True)), names, prototypes).collect()
+    for r in out:
+        v = whole([asked[r["doc_id"]]])[0]
+        cosine = {k: float(unit(v) @ want[k]) for k in names}
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        else:
+            assert cosine[r["lang_pred"]] == pytest.approx(max(cosine.values()), abs=1e-5) and r["score"] == pytest.approx(max(max(cosine.values()), 0), abs=1e-5)
+
+
+def test_toxicity_features_and_ratios_by_hand():
+    """Hashed n-grams of whole texts in plain Python, and the ratios from their counts."""
+    import pyarrow as pa
+
+    texts = ["Ab, cd!", "", "ab cd", "x", "Éé9é ß", "abcdefgh " * 3, None, "the end of the end", "a" * 50]
+    full = 2**64 - 1
+
+    def grams(t):
+        c, out = [0], set()
+        for x in (t or "").lower():
+            x = ord(x) if x.isalpha() else 0
+            if x or c[-1]:
+                c.append(x)
+        c, one = [*c, 0], []
+        for x in c:
+            h = (x * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & full
+            one.append(h ^ (h >> 29))
+        for n in toxicity.GRAMS:
+            for k in range(len(one) - n + 1):
+                h = one[k]
+                for j in range(1, n):
+                    h = (h * 0xBF58476D1CE4E5B9 + one[k + j]) & full
+                out.add(((h ^ (h >> 32)) * 0x94D049BB133111EB & full) >> (64 - toxicity.BITS))
+        return out
+
+    got = {k: f for k, f in toxicity.features(pa.array(texts, pa.string()))}
+    for k, t in enumerate(texts):
+        assert len(got[k]) == len(set(got[k].tolist())) and set(got[k].tolist()) == grams(t), t
+    rows = [(got[k], k % 2) for k in range(len(texts))] * 2
+    ratio = toxicity.log_ratios(rows)
+    size = 1 << toxicity.BITS
+    totals = [sum(len(g) for g, y in rows if y == label) + toxicity.SMOOTH * size for label in (0, 1)]
+    for f in sorted({int(x) for g, _ in rows for x in g})[::7]:
+        n = [sum(f in g for g, y in rows if y == label) for label in (0, 1)]
+        want = np.log((n[1] + toxicity.SMOOTH) / totals[1]) - np.log((n[0] + toxicity.SMOOTH) / totals[0]) if sum(n) >= toxicity.LEAST_TEXTS else 0
+        assert ratio[f] == pytest.approx(want)
+    # the score is the curve of the weights' sum over a text's features
+    model = toxicity.fit([(g, y) for g, y in rows if len(g)], 0.4)
+    margin = np.array([model.weight[g].sum() for g, _ in rows])
+    assert model.probability(margin) == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.shift))))
+
+
+def test_statistics_by_hand():
+    import pyarrow as pa
+
+    texts = ["The cat. The CAT sat, 42 times!\n\nthe cat\nthe cat\n", "\n", "", None, "one", "é$ é$ é$\n x", "AB CD ab\tEF.", "\n\nx", "word " * 500 + "\nend"]
+    got = dict(zip(quality.NAMES, quality.statistics(pa.array(texts, pa.string())).T, strict=True))
+    for k in range(len(texts)):  # whatever stands beside a text in its batch
+        alone = quality.statistics(pa.array([texts[k]], pa.string()))[0]
+        assert alone == pytest.approx([got[n][k] for n in quality.NAMES], abs=1e-6)
+    for k, t in enumerate(texts):
+        b = (t or "").encode()
+        n, w, lines = max(len(b), 1), [x.encode() for x in (t or "").split()], b.split(b"\n")
+        low = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in w]
+        size, many = [len(x) for x in w], max(len(w), 1)
+        share = lambda chars: sum(c in chars for c in b) / n
+        letters, upper = set(quality.LETTER.nonzero()[0].tolist()), set(range(65, 91))
+        count = lambda xs: max(map(xs.count, xs), default=0)
+        full = [x for x in lines if x]
+        pairs = list(zip(low, low[1:], strict=False))
+        want = {
+            "bytes": np.log1p(len(b)), "words": np.log1p(len(w)), "lines": np.log1p(len(lines)), "word length": sum(size) / many, "word length deviation": np.std(size) if size else 0, "longest word": np.log1p(max(size, default=0)),
+            "line words": len(w) / len(lines), "line bytes deviation": np.log1p(np.std([len(x) for x in lines])), "upper": share(upper), "digits": share(b"0123456789"), "letters": share(letters), "punctuation": share(b".,;:?"), "stops": share(b".!?"),
+            "symbols": share(quality.SYMBOLS), "high bytes": share(range(128, 256)), "odd symbols": share(b"#$%&*<>=@\\^_`{|}~[]"), "spaces": sum(c in b" \t\n\v\f\r" for c in b) / n,
+            "words without letter": sum(not letters & set(x) for x in w) / many, "words with odd symbol": sum(bool(set(x) & set(b"#$%&*<>=@\\^_`{|}~[]")) for x in w) / many, "words ending in punctuation": sum(x[-1] in b".,;:?" for x in w) / many,
+            "upper words": sum(sum(c in upper for c in x) > 1 and sum(c in upper for c in x) == sum(c in letters for c in x) for x in w) / many, "short words": sum(s <= 2 for s in size) / many, "distinct words": len(set(low)) / many,
+            "adjacent equal words": sum(x == y for x, y in pairs) / many, "distinct word pairs": len(set(pairs)) / max(len(w) - 1, 1), "distinct lines": len(set(full)) / max(len(full), 1), "empty lines": (len(lines) - len(full)) / len(lines),
+            "most frequent word": count(low) / many, "stops a word": sum(c in b".!?" for c in b) / many, "equal neighbour bytes": sum(x == y for x, y in zip(b, b[1:], strict=False)) / n,
+        }
+        for name, v in want.items():
+            assert got[name][k] == pytest.approx(v, abs=2e-6, rel=1e-5), (name, t)
+
+
 def _labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 

@@ -1,8 +1,15 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
+from test_text_operators import removed, sets, words
 
 import corpus_pipeline
+from strandline.llm import quality
+from strandline.llm.mixing import OP2_SQL
 from strandline.llm.registry import ORACLE_SQL, QUERIES
 
 
@@ -75,3 +82,97 @@ def test_stages_decide_by_row(spark, tmp_path):
     # a and c, b and d and g, e and f, h and i and k, j and m, n and o; the rows of 5 without words
     want = [r for r in rows if r[3] in set("cdfhjnprst")]
     assert _kept(corpus_pipeline.near_dedup(spark, only, str(tmp_path))) == sorted(((r[0], r[1], r[3]) for r in want), key=str)
+
+
+def _brute_quality(rows, labels):
+    """Statistics and trees in this process."""
+    x = quality.statistics(pa.array([r["text"] for r in rows], pa.string()))
+    known = {r["doc_id"]: r["quality"] for r in labels if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    learnt = sorted((r["doc_id"], known[r["doc_id"]], k) for k, r in enumerate(rows) if r["doc_id"] in known)
+    model = quality.fit(x[[k for *_, k in learnt]], np.array([y for _, y, _ in learnt], float), float(np.mean(list(known.values()))))
+    return {r["doc_id"] for r, p in zip(rows, model.probability(x), strict=True) if p >= corpus_pipeline.LEAST_QUALITY}
+
+
+def _brute_near_dedup(rows):
+    s, ids = sets([r["text"] for r in rows], 5), [r["doc_id"] for r in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if s[a] and s[b] and min(len(s[a]), len(s[b])) * 100 >= 80 * max(len(s[a]), len(s[b])) and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                if x != y:
+                    x, y = (x, y) if ids[x] < ids[y] else (y, x)
+                    root[y] = x
+    return {ids[k] for k in range(len(rows)) if find(k) == k}
+
+
+def _brute_passages(rows):
+    out = {}
+    for i, (b, flag) in removed(sorted((r["doc_id"], r["text"]) for r in rows), 100).items():
+        text, at, kept = b.decode(), 0, []
+        for c in text:
+            n = len(c.encode())
+            if not flag[at : at + n].all():
+                kept.append(c)
+            at += n
+        if not flag.any() or "".join(kept).strip():
+            out[i] = "".join(kept)
+    return out
+
+
+def _brute_decontaminate(rows, items):
+    windows = {tuple(w[k : k + 10]) for r in items for w in [words(r["text"])] if w for k in range(max(len(w) - 9, 1))}
+    lengths = {len(x) for x in windows}
+    return {r["doc_id"] for r in rows for w in [words(r["text"])] if not any(tuple(w[k : k + n]) in windows for n in lengths for k in range(len(w) - n + 1))}
+
+
+def test_stages_against_brute_force(spark, small, tmp_path):
+    import duckdb
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    labels, items = (spark.read.parquet(f"{small}/{t}.parquet").collect() for t in ("labels", "benchmark"))
+    for name, stage in corpus_pipeline.STAGES:
+        rows = docs.collect()
+        stage(spark, docs, small).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        got = {r["doc_id"]: r for r in out.collect()}
+        before = {r["doc_id"]: r["text"] for r in rows}
+        if name == "quality":
+            assert set(got) == _brute_quality(rows, labels)
+        elif name == "near_dedup":
+            assert set(got) == _brute_near_dedup(rows)
+        elif name == "passage_dedup":
+            assert {k: r["text"] for k, r in got.items()} == _brute_passages(rows)
+        elif name == "decontaminate":
+            assert set(got) == _brute_decontaminate(rows, items)
+        else:
+            docs.write.parquet(str(tmp_path / "input"))
+            c = duckdb.connect()
+            c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/input/*.parquet'")
+            taken = {r[0]: r[1] for r in c.execute(f"SELECT doc_id, taken FROM ({OP2_SQL})").fetchall()}
+            assert {k: r["taken"] for k, r in got.items()} == {k: v for k, v in taken.items() if v > 0}
+        if name != "passage_dedup":
+            assert all(r["text"] == before[k] for k, r in got.items())
+        assert len(got) == out.count() and set(got) <= set(before)
+        docs = out
+
+
+def test_nothing_contaminated_or_rejected_survives(spark, tmp_path):
+    """The whole run over null and repeated ids."""
+    good = lambda n: " ".join(f"River {n} {k} runs past the old mill number {n * k}, and the town of {n} sleeps." for k in range(12))
+    bad = "$$ @@ ## buy buy buy buy %% ^^ " * 12
+    item = " ".join(f"bench{k}" for k in range(12))
+    rows = [(100 + k, (good(k) if k % 2 else f"{bad} {k}"), "en", "l", 0) for k in range(60)]
+    rows += [(i, t, "en", s, 0) for i in (None, 7, 7) for s, t in (("bad", bad), ("dirty", f"{good(91)} {item} {good(92)}"), ("fine", good(93 + (i or 0))))]
+    d = str(tmp_path)
+    _stage_input(spark, tmp_path, rows, [(100 + k, k % 2, 0) for k in range(60)], [(1, item)])
+    out = corpus_pipeline.run(spark, d).collect()
+    assert all("bench3" not in r["text"] and "$$ @@" not in r["text"] for r in out)
+    assert {r["source"] for r in out} == {"l", "fine"} and sum(r["taken"] for r in out) > 0
+    assert set(out[0].asDict()) == {"doc_id", "source", "size", "source_size", "target", "taken", "text", "lang", "n_chars"}
