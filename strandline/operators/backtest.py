@@ -285,3 +285,9 @@ class OutOfSample:
         means = self.deciles.groupBy("strategy").agg(*[F.avg(f"g{k}").alias(f"g{k}") for k in range(1, self.groups + 1)], F.avg("spread").alias("spread"))
         ic = ic_summary(self.ic, by=("strategy",)).select("strategy", "mean", "std", "icir", "positive", "valid")
         return ic.join(means, "strategy", "left").join(moved, "strategy", "left")
+
+    def report(self) -> DataFrame:
+        """The summary and the performance of every series side by side, a row for each strategy."""
+        cols = ("annual", "ratio", "max_drawdown", "wins")
+        wide = self.performance().groupBy("strategy").agg(*[F.max(F.when(F.col("series") == k, F.col(c))).alias(f"{k}_{c}") for k in ("long", "benchmark", "excess", "spread") for c in cols])
+        return self.summary().join(wide, "strategy", "left")

@@ -140,17 +140,51 @@ def left_checked(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return left.join(right, keys, "left")
 
 
-def as_of(probe: DataFrame, steps: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
+def as_of(probe: DataFrame, steps: DataFrame, key: str, time: str, values: list[str], part: Column | None = None) -> DataFrame:
     """The values of the latest step of the key at or before each probe; of steps of one time the last in value order.
 
-    One union, one window over the key: no range join.
+    One union, one window over the key: no range join. part: an expression of the time that ascends with it, such as its month; then a
+    window holds the rows of a key and part only, and what a part begins with comes from a window over the key's parts, so that a key
+    with very many rows is split.
     """
     p = probe.select("*", F.lit(1).alias("_side"), *[F.lit(None).cast(steps.schema[v].dataType).alias(f"_{v}") for v in values])
     extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in probe.schema if f.name not in (key, time)]
     s = steps.select(key, time, *extra, F.lit(0).alias("_side"), *[F.col(v).alias(f"_{v}") for v in values])
-    w = Window.partitionBy(key).orderBy(time, "_side", *[f"_{v}" for v in values]).rowsBetween(Window.unboundedPreceding, 0)
-    last = {v: F.last(f"_{v}", True).over(w) for v in values}
-    return p.unionByName(s).withColumns(last).filter("_side = 1").drop("_side", *[f"_{v}" for v in values])
+    rows = p.unionByName(s)
+    if part is None:
+        w = Window.partitionBy(key).orderBy(time, "_side", *[f"_{v}" for v in values]).rowsBetween(Window.unboundedPreceding, 0)
+        last = {v: F.last(f"_{v}", True).over(w) for v in values}
+        return rows.withColumns(last).filter("_side = 1").drop("_side", *[f"_{v}" for v in values])
+    step = F.struct(time, *[f"_{v}" for v in values])
+    rows = rows.withColumn("_part", part)
+    ends = rows.groupBy(key, "_part").agg(F.max(F.when(F.col("_side") == 0, step)).alias("_end"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the key
+    ends = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.last("_end", True).over(before).alias("_begin"))
+    w = Window.partitionBy(key, "_part").orderBy(time, "_side", *[f"_{v}" for v in values]).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_now", F.last(F.when(F.col("_side") == 0, step), True).over(w)).filter("_side = 1")
+    out = inside.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")), "left")
+    found = F.coalesce("_now", "_begin")
+    return out.withColumns({v: found[f"_{v}"] for v in values}).drop("_side", "_part", "_key", "_of", "_begin", "_now", *[f"_{v}" for v in values])
+
+
+def provider_rows(raw: DataFrame, code: str, date: str, numbers: list[str]) -> tuple[DataFrame, DataFrame]:
+    """raw: text columns and seq, the order of arrival. Rows with a typed code, date and numbers, without those of a broken key, one for
+    each key: the last to arrive. And the keys whose rows disagree."""
+    typed = raw.select(normalise_code(F.col(code)).alias("stock"), F.try_to_date(F.trim(date), "yyyy-MM-dd").alias("date"), *[finite(F.expr(f"try_cast(trim({n}) as double)")).alias(n) for n in numbers], "seq")
+    typed = typed.filter(F.col("stock").rlike("^[0-9]{6}$") & F.col("date").isNotNull())
+    return keep_one(typed, ["stock", "date"], [F.desc("seq")]), conflicts(typed, ["stock", "date"], numbers)
+
+
+def with_industry(keys: DataFrame, industry: DataFrame, values: list[str]) -> DataFrame:
+    """keys: date, stock; industry: trade_date, stock_code, a row for each. All keys once, with the industry of the day, if it is known."""
+    right = industry.select(F.col("trade_date").alias("date"), F.col("stock_code").alias("stock"), *values)
+    return left_checked(keys, right, ["date", "stock"])
+
+
+def market_caps(bars: DataFrame, shares: DataFrame, part: Column | None = None) -> DataFrame:
+    """bars: stock, date, close_raw; shares: stock, date, shares, from that date on. Adds shares and cap, the raw close times the shares."""
+    out = as_of(bars, shares, "stock", "date", ["shares"], part)
+    return out.withColumn("cap", finite(F.when((F.col("close_raw") > 0) & (F.col("shares") > 0), F.col("close_raw") * F.col("shares"))))
 
 
 def derived_features(panel: DataFrame, shares: str = "shares") -> DataFrame:

@@ -28,6 +28,12 @@ def forward_return(price: str = "open", wait: int = 1, hold: int = 5) -> Column:
     return finite(F.try_divide(F.when(b > 0, b), F.when(a > 0, a)) - 1)
 
 
+def daily_return(price: str = "close") -> Column:
+    """Return from the row before, where both prices are above 0."""
+    now, before = finite(F.col(price)), finite(F.lag(price).over(_series()))
+    return finite(F.try_divide(F.when(now > 0, now), F.when(before > 0, before)) - 1)
+
+
 def contained(label: Column, end: Column, reach: int = 6) -> Column:
     """The label where all it needs lies in the split that ends with row `end`."""
     return F.when(F.col("t") + reach <= end, label)

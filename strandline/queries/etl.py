@@ -134,6 +134,70 @@ def asof_join(spark, sf_dir):
     return etl.as_of(probe, steps, "k", "at", ["price"]).select("l_orderkey", "l_linenumber", "l_partkey", "price")
 
 
+@query("""WITH s AS (SELECT o_custkey AS k, o_orderdate AS at, max(o_totalprice) AS price FROM orders GROUP BY ALL),
+p AS (SELECT l_orderkey, l_linenumber, l_partkey, o.o_custkey AS k, l_shipdate - INTERVAL 60 DAY AS at FROM lineitem JOIN orders o ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, l_partkey, s.price FROM p ASOF LEFT JOIN s ON p.k = s.k AND p.at >= s.at""")
+def asof_join_in_parts(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    steps = orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
+    probe = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("o_custkey").alias("k"), F.expr("l_shipdate - interval 60 days").alias("at"))
+    return etl.as_of(probe, steps, "k", "at", ["price"], F.date_trunc("year", "at")).select("l_orderkey", "l_linenumber", "l_partkey", "price")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS stock, DATE '1995-06-01' + (365 * i)::INT AS date, (s_suppkey * 100 + i * 7)::DOUBLE AS shares FROM supplier, range(4) r(i) WHERE s_suppkey % 5 <> i),
+b AS (SELECT l_suppkey AS stock, date_trunc('month', l_shipdate)::DATE AS date, round(max(l_extendedprice), 2) AS close_raw FROM lineitem GROUP BY ALL)
+SELECT b.stock, b.date, shares, round(close_raw * shares, 2) AS cap FROM b ASOF LEFT JOIN s ON b.stock = s.stock AND b.date >= s.date""")
+def market_caps(spark, sf_dir):
+    years = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("stock"), years).filter("stock % 5 <> i")
+    s = s.select("stock", F.expr("date_add(date'1995-06-01', 365 * i)").alias("date"), (F.col("stock") * 100 + F.col("i") * 7).cast("double").alias("shares"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("stock"), F.date_trunc("month", "l_shipdate").cast("date").alias("date")).agg(F.round(F.max("l_extendedprice"), 2).alias("close_raw"))
+    return etl.market_caps(b, s, F.year("date")).select("stock", "date", "shares", F.round("cap", 2).alias("cap"))
+
+
+_PROVIDER_SQL = r"""WITH r AS (SELECT ' ' || (l_partkey % 500)::VARCHAR || '.0' AS code, CASE WHEN l_orderkey % 31 = 0 THEN '1996-13-01' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS day, CASE WHEN l_linenumber = 5 THEN 'n/a' ELSE l_quantity::VARCHAR END AS volume, l_orderkey * 10 + l_linenumber AS seq, l_partkey AS tie FROM lineitem),
+u AS (SELECT * FROM r QUALIFY count(*) OVER (PARTITION BY seq) = 1),
+t AS (SELECT lpad(regexp_replace(trim(code), '\.0$', ''), 6, '0') AS stock, try_strptime(day, '%Y-%m-%d')::DATE AS date, try_cast(volume AS DOUBLE) AS volume, seq FROM u),
+k AS (SELECT * FROM t WHERE date IS NOT NULL)
+"""
+
+
+def _provider(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    once = lines.groupBy(seq.alias("seq")).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("l_partkey", "l_orderkey", "l_shipdate", "l_linenumber", "l_quantity")]).filter("n = 1")
+    raw = once.select(F.concat(F.lit(" "), (F.col("l_partkey") % 500).cast("string"), F.lit(".0")).alias("code"), F.when(F.col("l_orderkey") % 31 == 0, "1996-13-01").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("day"), F.when(F.col("l_linenumber") == 5, "n/a").otherwise(F.col("l_quantity").cast("string")).alias("volume"), "seq")
+    return etl.provider_rows(raw, "code", "day", ["volume"])
+
+
+@query(_PROVIDER_SQL + "SELECT stock, date, volume, seq FROM k QUALIFY row_number() OVER (PARTITION BY stock, date ORDER BY seq DESC) = 1")
+def provider_rows(spark, sf_dir):
+    return _provider(spark, sf_dir)[0].select("stock", "date", "volume", "seq")
+
+
+@query(_PROVIDER_SQL + "SELECT stock, date, count(DISTINCT row(volume)) AS versions FROM k GROUP BY ALL HAVING count(DISTINCT row(volume)) > 1")
+def provider_conflicts(spark, sf_dir):
+    return _provider(spark, sf_dir)[1]
+
+
+@query("WITH k AS (SELECT DISTINCT l_shipdate::DATE AS date, l_suppkey AS stock FROM lineitem), i AS (SELECT DISTINCT o_orderdate::DATE AS date, o_custkey AS stock FROM orders) SELECT k.date, k.stock, CASE WHEN i.stock IS NOT NULL THEN 'sector' || (k.stock % 7)::VARCHAR END AS sector FROM k LEFT JOIN i ON i.date = k.date AND i.stock = k.stock")
+def keys_with_industry(spark, sf_dir):
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("stock")).distinct()
+    known = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("trade_date"), F.col("o_custkey").alias("stock_code")).distinct()
+    return etl.with_industry(keys, known.withColumn("sector", F.concat(F.lit("sector"), (F.col("stock_code") % 7).cast("string"))), ["sector"])
+
+
+@query("SELECT p_partkey, p_type LIKE '%BRASS' AS brass, p_type LIKE '%steel' AS steel FROM part")
+def suffix_test(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").endswith("BRASS").alias("brass"), F.col("p_type").endswith("steel").alias("steel"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def join_anti_below(spark, sf_dir):
+    rich = table(spark, sf_dir, "orders").filter("o_totalprice > 300000")
+    return table(spark, sf_dir, "customer").join(rich, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def join_anti_pending(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

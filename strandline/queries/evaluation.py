@@ -182,9 +182,7 @@ def factor_rank_correlation(spark, sf_dir):
 
 
 def _returns(spark, sf_dir):
-    p = factor_panel(spark, sf_dir)
-    w = ev._series()
-    return p.withColumn("ret", ev.finite(F.try_divide(F.when(F.col("close") > 0, F.col("close")), F.when(F.lag("close").over(w) > 0, F.lag("close").over(w))) - 1))
+    return factor_panel(spark, sf_dir).withColumn("ret", ev.daily_return())
 
 
 MARKET_SQL = FACTOR_SQL + """, g AS (SELECT *, close / lag(close) OVER w - 1 AS ret, lag(cap) OVER w AS lc, lag(universe) OVER w AS lu FROM fp WINDOW w AS (PARTITION BY stock ORDER BY t)),

@@ -293,6 +293,15 @@ def oos_summary(spark, sf_dir):
     return out.select("strategy", *_cols("mean", "std", "icir", "positive", *_MEANS, "turnover_mean", "turnover_median", "turnover_p75", "turnover_most", "replaced_mean"), "valid", "turnovers")
 
 
+_WIDE = [(k, c, x) for k in ("long", "benchmark", "excess", "spread") for c, x in (("annual", "pow(product(1 + x), 50.4::DOUBLE / count(x)) - 1"), ("max_drawdown", "least(0, min(drawdown))"), ("wins", "avg((x > 1e-12::DOUBLE)::INT::DOUBLE)"))]
+
+
+@query(OOS_SQL + ", pv AS (SELECT strategy, series, " + ", ".join(f"{x} AS {c}" for k, c, x in _WIDE if k == "long") + " FROM dn GROUP BY ALL), ic AS (SELECT strategy, avg(ic) AS mean FROM oi GROUP BY strategy) SELECT strategy, round(max(mean), 6) + 0.0 AS mean, "
+    + ", ".join(f"round(max({c}) FILTER (series = '{k}'), 8) + 0.0 AS {k}_{c}" for k, c, _ in _WIDE) + " FROM pv JOIN ic USING (strategy) GROUP BY strategy")
+def oos_report(spark, sf_dir):
+    return _oos(spark, sf_dir).report().select("strategy", *_cols("mean"), *[(F.round(f"{k}_{c}", 8) + 0.0).alias(f"{k}_{c}") for k, c, _ in _WIDE])
+
+
 @query(MATRIX_SQL + f" SELECT t, stock, round(score, 6) + 0.0 AS equal, {_out('f2', 'label')} FROM ew")
 def score_pivot(spark, sf_dir):
     m = _matrix(spark, sf_dir)
@@ -428,6 +437,23 @@ def enumerate_two_nodes(spark, sf_dir):
     return spark.createDataFrame(rows, "hash string, formula string, prefix string, nodes int, depth int, lookback int, log_reward double")
 
 
+_FORMS = [
+    ("add(close, open)", "add close open", "close open add", 3, 1, 2, 0, 2),
+    ("ts_mean(add(open, close), 20)", "ts_mean@20 add close open", "close open add ts_mean@20", 4, 2, 2, 19, 2),
+    ("ts_corr(cs_rank(volume), sub(high, low), 10)", "ts_corr@10 cs_rank volume sub high low", "volume cs_rank high low sub ts_corr@10", 6, 2, 3, 9, 3),
+    ("mul(neg(close), neg(close))", "mul neg close neg close", "close neg close neg mul", 5, 2, 2, 0, 1),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {n}, {d}, {v}, {k}, {p})" for a, b, c, n, d, v, k, p in _FORMS) + ") AS v(formula, prefix, postfix, nodes, depth, leaves, lookback, parents)")
+def expression_forms(spark, sf_dir):
+    g, rows = Grammar(), []
+    for f, *_ in _FORMS:
+        e = parse(f).canonical()
+        rows.append((f, " ".join(e.prefix()), " ".join(e.postfix()), e.stats()["nodes"], e.depth(), e.stats()["leaves"], e.lookback(), g.parents(e)))
+    return spark.createDataFrame(rows, "formula string, prefix string, postfix string, nodes int, depth int, leaves int, lookback int, parents int")
+
+
 @query("SELECT * FROM (VALUES (1, 6::BIGINT), (2, 636::BIGINT), (3, 68436::BIGINT)) AS v(nodes, expressions)")
 def expression_counts(spark, sf_dir):
     return spark.createDataFrame([(n, Grammar().count(n)) for n in (1, 2, 3)], "nodes int, expressions long")
