@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.elementwise import EPS
 from .evaluate import LEAST_SAMPLE, PERIODS, clean_candidate, ic_summary, long_form, rank_correlation
 
+#: Scores that differ by no more are constant but for rounding.
+CONSTANT = 1e-9
 # fixed values of the rolling weights
 HISTORY, LEAST_HISTORY, MATURITY, UPDATE, SHRINK, CAP, WINSOR = 150, 100, 2, 4, 0.5, 0.03, 0.95
 
@@ -241,9 +243,9 @@ class OutOfSample:
     def __init__(self, scores: DataFrame, labels: DataFrame, calendar: DataFrame, rate: float = 0.0, least: int = LEAST_SAMPLE, groups: int = 10):
         self.rate, self.groups, by = rate, groups, ("strategy", "t")
         rows = scores.join(labels.select("t", "stock", "label"), ["t", "stock"], "left")
-        known = F.col("label").isNotNull()  # scores are constant if they differ by rounding alone
+        known = F.col("label").isNotNull()
         per = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("eligible"), F.count_if(known).alias("labelled"), (F.max(F.when(known, F.col("score"))) - F.min(F.when(known, F.col("score")))).alias("_range"))
-        flat = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("_range") <= EPS, F.col("strategy")))))
+        flat = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("_range") <= CONSTANT, F.col("strategy")))))
         dates = per.groupBy("t").agg(F.max("eligible").alias("eligible"), F.max("labelled").alias("labelled"), flat.alias("_flat"))
         few = F.when(F.col("labelled") < least, F.lit("too few labels"))
         dates = dates.withColumn("reasons", F.array_join(F.array_compact(F.concat(F.array(few), F.transform("_flat", lambda x: F.concat(x, F.lit(" has constant scores"))))), "|"))

@@ -220,6 +220,13 @@ def reward(ic: Column, ratio: Column, penalty: Column, ir_weight: float = 0.3, s
     return F.when(reason.isNull(), F.greatest(value, F.lit(floor))), reason
 
 
+def coverage(df: DataFrame, x: str, universe: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Names of the universe with a value, names of the universe, and their ratio."""
+    g = df.groupBy(*by) if by else df.groupBy()
+    present, inside = F.sum((universe & F.col(x).isNotNull()).cast("long")), F.sum(universe.cast("long"))
+    return g.agg(present.alias("present"), inside.alias("universe"), F.try_divide(present.cast("double"), inside.cast("double")).alias("coverage"))
+
+
 def with_reward(df: DataFrame, ic: str = "ic", ratio: str = "ir", penalty: str = "penalty", floor: float = 1e-8) -> DataFrame:
     """Adds reward, log_reward, floored (whether the floor applied) and, where the reward is missing, reason."""
     value, reason = reward(F.col(ic), F.col(ratio), F.col(penalty), floor=0.0)

@@ -235,7 +235,7 @@ OOS_SQL = _SEEDED + f""", rs AS (SELECT t, stock, sum(weight * x) AS score FROM
 sc AS (SELECT 'equal' AS strategy, t, stock, score FROM ew WHERE t >= {TEST} UNION ALL SELECT 'rolling', t, stock, score FROM rs UNION ALL SELECT 'second', t, stock, f2 FROM mx WHERE t >= {TEST}),
 rw AS (SELECT sc.*, date, label / 500 AS label FROM sc JOIN (SELECT t, stock, date, label FROM fp) l USING (t, stock)),
 cs AS (SELECT strategy, t, count(*) AS eligible, count(label) AS labelled, max(score) FILTER (label IS NOT NULL) - min(score) FILTER (label IS NOT NULL) AS width FROM rw GROUP BY ALL),
-cd AS (SELECT t, max(eligible) AS eligible, max(labelled) AS labelled, list_sort(list(strategy || ' has constant scores') FILTER (width = 0)) AS flat FROM cs GROUP BY t),
+cd AS (SELECT t, max(eligible) AS eligible, max(labelled) AS labelled, list_sort(list(strategy || ' has constant scores') FILTER (width <= 1e-9::DOUBLE)) AS flat FROM cs GROUP BY t),
 cv AS (SELECT t, (row_number() OVER (ORDER BY t) - 1)::INT AS p, eligible, labelled, concat_ws('|', CASE WHEN labelled < {LEAST} THEN 'too few labels' END, array_to_string(flat, '|')) AS reasons FROM cd),
 gd AS (SELECT rw.*, p FROM rw JOIN cv USING (t) WHERE reasons = '' AND label IS NOT NULL),
 {ic_sql('gd', 'score', 'label', 'oi', 'strategy, t', LEAST)},
