@@ -685,6 +685,23 @@ def test_near_duplicates_of_an_id_with_several_texts(spark):
 # all
 
 
+def test_scratch_tables_go_on_errors(spark):
+    from pathlib import Path
+
+    from strandline.llm._spark import shared_folder
+
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as scratch:
+        scratch.table(spark.range(3), "numbers")
+        folder = Path(scratch.path.removeprefix("file:"))
+        assert folder.exists()
+        1 / 0  # noqa: B018
+    assert not folder.exists()
+    with Scratch(spark, spark.range(3)) as scratch:
+        kept = scratch.keep(scratch.table(spark.range(50).repartition(40), "numbers"))
+    assert kept.count() == 50 and not Path(scratch.path.removeprefix("file:")).exists()
+    assert kept.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and shared_folder(spark)
+
+
 def test_empty_tables(spark, tmp_path):
     d = saved(
         spark, tmp_path, documents=docs(spark, []), labels=_labels(spark, []), benchmark=spark.createDataFrame([], "item_id long, text string"), pages=spark.createDataFrame([], "page_id long, url string, html string"),
