@@ -12,7 +12,7 @@ from ..plans.compiler import evaluate
 from ..plans.grammar import Grammar
 from ..sources.panel import densify, table
 from .evaluation import FACTOR_SQL, factor_panel, legs_sql
-from .selection import SERIES_SQL, _series
+from .selection import ENUMERATION_SQL, SERIES_SQL, _series
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -27,7 +27,13 @@ def query(sql=None):
     return add
 
 
-@query()
+@query(ENUMERATION_SQL + """SELECT hash, 'accept' AS verdict, NULL::VARCHAR AS reason, formula FROM x
+UNION ALL SELECT repeat('0', 64), 'review', 'its hash differs', 'open'
+UNION ALL SELECT repeat('1', 64), 'reject', 'an operand is missing', NULL
+UNION ALL SELECT repeat('2', 64), 'reject', '1 tokens are left over', NULL
+UNION ALL SELECT repeat('3', 64), 'reject', 'unknown token ' || chr(39) || 'nope' || chr(39), NULL
+UNION ALL SELECT repeat('4', 64), 'reject', 'an operand is missing', NULL
+UNION ALL SELECT repeat('5', 64), 'reject', 'beyond the limits of size', repeat('neg(', 20) || 'open' || repeat(')', 20)""")
 def compatibility_audit(spark, sf_dir):
     good = [(n.hash(), n.prefix()) for nodes in (1, 2) for n in Grammar().enumerate(nodes)]
     rows = [*good, ("0" * 64, ["open"]), ("1" * 64, ["add", "open"]), ("2" * 64, ["close", "open"]), ("3" * 64, ["nope"]), ("4" * 64, None), ("5" * 64, ["neg"] * 20 + ["open"])]

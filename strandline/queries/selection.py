@@ -431,7 +431,20 @@ def split_effectiveness(spark, sf_dir):
 # generation
 
 
-@query()
+# fixed values: names of the leaves and of the operators of one operand, spelt out here so that the SQL doesn't depend on the library
+ENUMERATION_SQL = """WITH leaf AS (SELECT unnest(['open', 'high', 'low', 'close', 'vwap', 'volume']) AS x),
+op AS (SELECT unnest(['abs', 'neg', 'sign', 'log', 'inv', 'sqrt', 'tanh', 'relu', 'softsign', 'signed_power2', 'signed_power3', 'signed_log1p',
+  'cs_rank', 'cs_zscore', 'cs_demean', 'cs_scale', 'cs_normalize', 'cs_winsorize', 'cs_truncate', 'cs_quantile', 'cs_rank_gauss']) AS name, NULL::INT AS n
+ UNION ALL SELECT name, n FROM (SELECT unnest(['ts_mean', 'ts_std', 'ts_max', 'ts_min', 'ts_rank', 'ts_delay', 'ts_delta', 'ts_sum', 'ts_argmax', 'ts_argmin',
+  'ts_wma', 'ts_ema', 'ts_slope', 'ts_residual', 'ts_zscore', 'ts_position', 'ts_range']) AS name), (SELECT unnest([5, 10, 20, 40, 60]) AS n)),
+e AS (SELECT x AS formula, x AS prefix, '["' || x || '"]' AS json, 1 AS nodes, 0 AS depth, 0 AS lookback, x = 'close' AS field, false AS mean FROM leaf
+ UNION ALL SELECT name || '(' || x || coalesce(', ' || n, '') || ')', name || coalesce('@' || n, '') || ' ' || x, '["' || name || coalesce('@' || n, '') || '",["' || x || '"]]',
+  2, 1, CASE WHEN n IS NULL THEN 0 WHEN name IN ('ts_delay', 'ts_delta') THEN n ELSE n - 1 END, x = 'close', name = 'ts_mean' FROM leaf, op),
+x AS (SELECT sha256('strandline.expression.v1' || chr(0) || json) AS hash, formula, prefix, nodes, depth, lookback, field::INT::DOUBLE + mean::INT::DOUBLE - 0.1::DOUBLE * nodes AS log_reward FROM e)
+"""
+
+
+@query(ENUMERATION_SQL + "SELECT * FROM x")
 def enumerate_two_nodes(spark, sf_dir):
     rows = [(n.hash(), n.formula(), " ".join(n.prefix()), n.stats()["nodes"], n.depth(), n.lookback(), float(synthetic_log_reward(n))) for k in (1, 2) for n in Grammar().enumerate(k)]
     return spark.createDataFrame(rows, "hash string, formula string, prefix string, nodes int, depth int, lookback int, log_reward double")
@@ -540,12 +553,12 @@ def quality_table(spark, sf_dir):
     return out.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("least", "q25")], *_cols("median"), *[F.round(c, 6).alias(c) for c in ("q75", "most")], *_cols("mean"), "above")
 
 
-@query("""WITH a AS (SELECT (o_orderkey % 97) AS cycle, count(*) AS accepted FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT (o_orderkey % 89) AS cycle, count(*) AS found FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1),
+@query("""WITH a AS (SELECT (o_orderkey % 97) AS cycle, count(*) AS accepted FROM orders GROUP BY 1), b AS (SELECT (l_orderkey % 101) AS cycle, count(*) AS found FROM lineitem GROUP BY 1),
 j AS (SELECT coalesce(a.cycle, b.cycle) AS cycle, coalesce(accepted, 0) AS accepted, coalesce(found, 0) AS found FROM a FULL JOIN b ON a.cycle = b.cycle)
 SELECT cycle, accepted, found, (sum(accepted) OVER (ORDER BY cycle))::BIGINT AS accepted_total, (sum(found) OVER (ORDER BY cycle))::BIGINT AS found_total, floor(cycle / 10)::BIGINT AS block, round(CASE WHEN accepted > 0 THEN found / accepted::DOUBLE END, 6) AS new_share FROM j""")
 def exploration(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    out = rp.exploration(o.filter("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 97).alias("cycle")), o.filter("o_orderkey % 5 = 0").select((F.col("o_orderkey") % 89).alias("cycle")))
+    accepted = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("cycle"))
+    out = rp.exploration(accepted, table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 101).alias("cycle")))
     return out.withColumn("new_share", F.round("new_share", 6))
 
 
@@ -561,11 +574,16 @@ def funnel(spark, sf_dir):
 
 
 def _depths(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select((k % 5000).alias("hash"), (k % 5000 % 7 + 3).cast("int").alias("nodes"), (k % 5000 % 35 % 6 % (k % 5000 % 7 + 3)).cast("int").alias("depth"), (k % 5000 % 3 != 0).alias("valid"), ((k % 5000) / 5000.0).alias("reward"), ((k % 5000 - 2500) / 50000.0).alias("ic"), ((k % 5000) % 60 / 10.0).alias("seconds"))
+    """A record for each order, whose hash is its customer: as many visits of an expression as the customer has orders."""
+    h = F.col("o_custkey")
+    nodes = h % 7 + 3
+    return table(spark, sf_dir, "orders").select(
+        h.alias("hash"), nodes.cast("int").alias("nodes"), (h % 35 % 6 % nodes).cast("int").alias("depth"), (h % 3 != 0).alias("valid"),
+        (h / 5000.0).alias("reward"), ((h - 2500) / 50000.0).alias("ic"), (h % 60 / 10.0).alias("seconds"),
+    )
 
 
-@query("""WITH d AS (SELECT DISTINCT o_orderkey % 5000 AS h FROM orders), r AS (SELECT h, (h % 7 + 3)::INT AS nodes, (h % 35 % 6 % (h % 7 + 3))::INT AS depth, h % 3 <> 0 AS valid, h / 5000.0::DOUBLE AS reward, (h - 2500) / 50000.0::DOUBLE AS ic, h % 60 / 10.0::DOUBLE AS seconds FROM d),
+@query("""WITH d AS (SELECT DISTINCT o_custkey AS h FROM orders), r AS (SELECT h, (h % 7 + 3)::INT AS nodes, (h % 35 % 6 % (h % 7 + 3))::INT AS depth, h % 3 <> 0 AS valid, h / 5000.0::DOUBLE AS reward, (h - 2500) / 50000.0::DOUBLE AS ic, h % 60 / 10.0::DOUBLE AS seconds FROM d),
 s AS (SELECT nodes, depth, count(*) AS n, count_if(valid) AS v, quantile_cont(reward, 0.9) AS r90, quantile_cont(reward, 0.99) AS r99, quantile_cont(abs(ic), 0.9) AS ic90, avg(seconds) AS ms, quantile_cont(seconds, 0.5) AS qs FROM r GROUP BY ALL),
 g AS (SELECT nodes, allr, unnest(range(0, d + 1))::INT AS depth FROM (SELECT nodes, max(depth) AS d, count(*) AS allr FROM r GROUP BY nodes))
 SELECT g.nodes, g.depth, coalesce(n, 0) AS n, round(coalesce(n, 0) / allr::DOUBLE, 6) AS share, round(v / n::DOUBLE, 6) AS valid_rate, round(r90, 6) AS reward90, round(r99, 6) AS reward99, round(ic90, 6) AS ic90, round(ms, 6) AS mean_seconds, round(qs, 6) AS median_seconds FROM g LEFT JOIN s ON g.nodes = s.nodes AND g.depth = s.depth""")
