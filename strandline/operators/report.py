@@ -18,11 +18,15 @@ def numeric_summary(df: DataFrame, x: str, order: str, by: tuple[str, ...] = ())
     )
 
 
-def token_usage(candidates: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """candidates: hash, tokens; vocabulary: token, name, kind. Occurrences, and the share of candidates that use each name."""
-    rows = candidates.select("hash", F.explode("tokens").alias("token")).join(F.broadcast(vocabulary), "token")  # 152 tokens
-    total = candidates.agg(F.count_distinct("hash").alias("_all"))
-    return rows.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("hash").alias("candidates")).join(F.broadcast(total)).withColumn("share", F.col("candidates") / F.col("_all")).drop("_all")
+def token_usage(candidates: DataFrame, vocabulary: DataFrame, by: tuple[str, ...] = ("name", "kind")) -> DataFrame:
+    """candidates: hash, tokens; vocabulary: token, and what it is counted by (its name, kind, family, window, ...).
+
+    Occurrences, and the share of candidates that use each; a candidate counts once, however often it does.
+    """
+    rows = candidates.select("hash", F.explode("tokens").alias("token")).join(vocabulary, "token")
+    total = candidates.agg(F.count_distinct("hash").alias("_all"))  # one row
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("hash").alias("candidates"))
+    return out.join(F.broadcast(total)).withColumn("share", F.col("candidates") / F.col("_all")).drop("_all")
 
 
 def quality_table(df: DataFrame, metrics: list[str], thresholds: dict[str, float]) -> DataFrame:
@@ -66,6 +70,31 @@ def depth_table(df: DataFrame) -> DataFrame:
     return out.select("nodes", "depth", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("all")).alias("share"), F.try_divide("valid", "n").alias("valid_rate"), F.col("p")[0].alias("reward90"), F.col("p")[1].alias("reward99"), "ic90", "mean_seconds", "median_seconds")
 
 
+def unique_records(df: DataFrame, source: str, of: str, identity: list[str], first: list[str], key: str = "hash") -> DataFrame:
+    """Of the records of one source a row for each key, the least by the columns `first`, then by the others; adds visits.
+
+    The query fails if records of a key differ in the identity columns; nulls are equal. Keys that are null are left out.
+    """
+    same = F.struct(*identity)
+    rest = [c for c in df.columns if c not in (key, source, *first)]
+    rows = df.filter((F.col(source) == of) & F.col(key).isNotNull())
+    out = rows.groupBy(key).agg(F.min(same).alias("_a"), F.max(same).alias("_b"), F.min(F.struct(*first, *rest)).alias("_r"), F.count(F.lit(1)).alias("visits"))
+    agreed = F.assert_true(F.col("_a").eqNullSafe(F.col("_b")), "records of one key disagree")
+    return out.filter(agreed.isNull()).select(key, *[F.col(f"_r.{c}").alias(c) for c in (*first, *rest)], "visits")
+
+
+def source_snapshot(records: DataFrame, branch: str, branches: list[str]) -> DataFrame:
+    """The records of some branches, with content: the SHA-256 of a record as JSON, its columns by name and nulls spelt out."""
+    whole = F.to_json(F.struct(*sorted(records.columns)), {"ignoreNullFields": "false"})
+    return records.filter(F.col(branch).isin(branches)).withColumn("content", F.sha2(whole, 256))
+
+
+def set_fingerprints(snapshot_: DataFrame, branch: str) -> DataFrame:
+    """branch, n, fingerprint: a sum of 60 bits of each content, so that the order and the partitions of the records don't matter."""
+    bits = F.conv(F.substring("content", 1, 15), 16, 10).cast("decimal(38,0)")
+    return snapshot_.groupBy(branch).agg(F.count(F.lit(1)).alias("n"), F.sum(bits).cast("string").alias("fingerprint"))
+
+
 def health(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
     """Mean, deviation, median, root mean square, and the share of values above 0."""
     return df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.percentile(x, F.lit(0.5)).alias("median"), F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rms"), F.avg((F.col(x) > 0).cast("double")).alias("positive"))

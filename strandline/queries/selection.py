@@ -544,6 +544,36 @@ def token_usage(spark, sf_dir):
     return rp.token_usage(c, words).select("name", "kind", "occurrences", "candidates", F.round("share", 6).alias("share"))
 
 
+@query("""WITH tok AS (SELECT p_partkey AS hash, unnest(string_split(p_type, ' ')) AS token FROM part), a AS (SELECT count(DISTINCT p_partkey) AS n FROM part)
+SELECT length(token)::INT AS size, count(*) AS occurrences, count(DISTINCT hash) AS candidates, round(count(DISTINCT hash) / max(n)::DOUBLE, 6) AS share
+FROM tok, a GROUP BY length(token)""")
+def family_usage(spark, sf_dir):
+    """Usage by family: words of one length stand for the windows of one operator."""
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hash"), F.split("p_type", " ").alias("tokens"))
+    words = c.select(F.explode("tokens").alias("token")).distinct().withColumn("size", F.length("token"))
+    return rp.token_usage(c, words, ("size",)).withColumn("share", F.round("share", 6))
+
+
+@query("""SELECT l_partkey AS hash, p_brand AS brand, p_size AS size, min(l_linenumber) > 3 AS cached, count(*) AS visits
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY ALL""")
+def diagnostic_records(spark, sf_dir):
+    """Each part that was returned, once: its brand and size are its identity, and a row that was not cached is preferred."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_returnflag").alias("source"), (F.col("l_linenumber") > 3).alias("cached"))
+    rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("hash"), "source", "brand", "size", "cached")
+    return rp.unique_records(rows, "source", "R", ["brand", "size"], ["cached"])
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS branch, sha256(to_json({'branch': o_orderstatus, 'customer': o_custkey, 'hash': o_orderkey, 'note': CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END})::VARCHAR) AS h
+ FROM orders WHERE o_orderstatus IN ('F', 'O'))
+SELECT branch, count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR AS fingerprint FROM r GROUP BY branch""")
+def candidate_snapshot(spark, sf_dir):
+    """Fingerprints of two branches of records, one for each order."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("branch"), F.col("o_custkey").alias("customer"), k.alias("hash"), F.when(k % 5 != 0, F.col("o_orderpriority")).alias("note"))
+    return rp.set_fingerprints(rp.source_snapshot(rows, "branch", ["F", "O"]), "branch")
+
+
 _QT = ("train_ic", "validation_ic", "train_ratio", "train_style")
 
 

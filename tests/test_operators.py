@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import cross_section, elementwise, time_series
-from strandline.operators import backtest, etl, evaluate, select
+from strandline.operators import backtest, etl, evaluate, report, select
 from strandline.plans import expression as ex
 from strandline.plans.compiler import evaluate as run
 from strandline.plans.grammar import Grammar
@@ -457,3 +457,21 @@ def test_spread_sample_beyond_one_task(spark, monkeypatch):
     assert select.spread_sample(df, 12, ["hash"]).orderBy("place").collect() == want and [r["place"] for r in want] == list(range(12))
     few = spark.createDataFrame([("a",), ("b",)], "hash string")
     assert [(r["hash"], r["place"]) for r in select.spread_sample(few, 4, ["hash"]).orderBy("place").collect()] == [("a", 0), ("a", 1), ("a", 2), ("b", 3)]
+
+
+def test_records_of_a_key_must_agree(spark):
+    schema = "hash string, source string, nodes int, reward double, cached boolean"
+    rows = [("a", "found", 3, None, True), ("a", "found", 3, None, False), ("b", "found", 2, 0.5, True), (None, "found", 9, 9.0, True), ("b", "other", 7, 0.1, False)]
+    got = report.unique_records(spark.createDataFrame(rows, schema), "source", "found", ["nodes", "reward"], ["cached"])
+    assert {tuple(r) for r in got.select("hash", "nodes", "reward", "cached", "visits").collect()} == {("a", 3, None, False, 2), ("b", 2, 0.5, True, 1)}
+    with pytest.raises(Exception, match="disagree"):
+        report.unique_records(spark.createDataFrame([*rows, ("a", "found", 3, 0.0, True)], schema), "source", "found", ["nodes", "reward"], ["cached"]).collect()
+    assert not report.unique_records(spark.createDataFrame([], schema), "source", "found", ["nodes"], ["cached"]).head(1)
+
+
+def test_fingerprints_ignore_order(spark):
+    df = spark.createDataFrame([("x", 1, None), ("x", 2, "b"), ("y", 1, "c"), ("z", 1, "d")], "branch string, hash int, note string")
+    of = lambda d: {tuple(r) for r in report.set_fingerprints(report.source_snapshot(d, "branch", ["x", "y"]), "branch").collect()}
+    one = of(df)
+    assert {r[0] for r in one} == {"x", "y"} and of(df.orderBy(F.desc("hash")).select("note", "hash", "branch").repartition(3)) == one
+    assert of(df.fillna("", ["note"])) != one and of(df.unionAll(df.limit(1))) != one
